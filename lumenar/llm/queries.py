@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouped_split, markov_clusters, parity_sketch, split_overlap
-from .common import table
+from . import broken_pairs, cut_text, grouped_split, languages, markov_clusters, mixing, packing, parity_sketch, split_overlap
+from .common import cut_lineage, table
+from .token_sizes import with_tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_text.cut_records(table(spark, sf_dir, "prompt_response"), table(spark, sf_dir, "generated_response"))
+    return cut.filter("cut").select("record_table", "record_key")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_text.cut_rates(table(spark, sf_dir, "prompt_response"), table(spark, sf_dir, "generated_response"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +57,42 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_sketch.duplicate_groups(*_stories(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs.broken_pairs(table(spark, sf_dir, "prompt_response"), table(spark, sf_dir, "generated_response"), table(spark, sf_dir, "documents"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(with_tokens(table(spark, sf_dir, "documents")))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_texts(_sized(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_report(p7_packed(spark, sf_dir))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_texts(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    return mixing.mix_report(mixing.mixed_texts(sized, targets), sized, targets)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(table(spark, sf_dir, "documents"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_report, p4_found, p4_assigned, p5_found, p5_groups)}
+    all_of = (p1_found, p1_rates, p2_found, p2_clusters, p3_found, p3_report, p4_found, p4_assigned, p5_found, p5_groups, p6_found, p7_packed, p7_report, p8_mixed, p8_shares, p9_found, p9_segments)
+    return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
