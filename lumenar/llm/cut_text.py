@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prefix lengths that are hashed: steps of 8 letters up to 96, of 32 up to 512, of 256 beyond; a longer value is matched by its first 16,384 letters and then compared in full.
-LADDER = [*range(16, 96, 8), *range(96, 512, 32), *range(512, 16385, 256)]
+#: Prefix lengths that are hashed, each up to half as long again as the one before, up to 24,576 letters; a value is matched by the longest that it reaches and then compared in full.
+LADDER = [16, 24, *(n << k for k in range(10) for n in (32, 48))]
 #: Letters per token piece that are tried for a generator's subword tokenizer.
 PIECES = range(2, 9)
 
@@ -70,7 +70,7 @@ def longer_copies(values: DataFrame) -> DataFrame:
     n, m = F.col("step.n"), F.col("step.m")
     key = F.xxhash64(n, F.substring(F.col("text"), F.lit(1), n))
     rest = F.substring(F.col("text"), n + 1, m - n + 1)
-    copies = parts.select(key.alias("key"), rest.alias("more")).distinct()
+    copies = parts.select(key.alias("key"), rest.alias("more")).repartition("key").distinct()
     last = parts.filter(F.col("open") & (F.length("text") < m)).select("value_id", key.alias("key"), rest.alias("rest"), F.substring("text", -1, 1).alias("end"))
     found = last.join(copies, "key").filter((F.length("more") > F.length("rest")) & F.col("more").startswith(F.col("rest")))
     after = F.substring(F.col("more"), F.length("rest") + 1, F.lit(1))
