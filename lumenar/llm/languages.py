@@ -1,8 +1,8 @@
 """Languages of documents and of the segments of mixed ones (problem 9).
 
 A sentence is the average of hashed embeddings of its words' letter 2- to 4-grams and of the words themselves; a linear softmax over it gives the language. Embeddings and softmax are trained
-together by stochastic gradient descent in numpy on a bounded sample of labelled documents, whose labels are partly wrong: after a first fit, sentences that the model firmly puts elsewhere
-take its language. The softmax is calibrated on held-out sentences by a temperature, and sentences below a confidence, chosen on them too, are rejected.
+together by stochastic gradient descent in numpy on a bounded sample of labelled documents, whose labels are partly wrong: after a first fit, sentences take
+the language that the model finds likelier than all others together, and the rest is left out. The softmax is calibrated on held-out sentences by a temperature, and sentences below a confidence, chosen on them too, are rejected.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from .language_labels import labelled_sample, read_label
 from .letters import CODES, codepoints
 
 #: Labelled documents that the classifier is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 BUCKETS, DIM = 1 << 15, 16
-#: A sentence ends with its mark and a blank, or with its line.
-_SENTENCE = re.compile(r"[^.!?…\n]*[.!?…]+[\"'”’»)\]]*(?=\s|$)|[^\n]+?(?=[.!?…][\"'”’»)\]]*\s|\n|$)")
+#: A sentence ends with its mark and a blank, or with its line; the point of a day's number ("am 5. Juni") ends none.
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|\n")
+_DAY = re.compile(r"(?<!\w)\d{1,2}\.$")
+_CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*$")
+#: Titles and names in quotation marks or brackets.
+_ASIDE = re.compile(r"[“\"«„][^“”\"«»„]{1,60}[”\"»“]|\([^)]*\)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -37,33 +41,38 @@ class Classifier:
     least: float = 0.5
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 2- to 4-grams and words of each text, text by text, and where each text's begin."""
+def _grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the 2-, 3- and 4-grams and the words: their buckets, text by text, and the text of each."""
     points, starts = codepoints(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    found, owners = [], []
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
+    found = []
     mixed = points * np.uint64(0x9E3779B97F4A7C15)
-    rolling = mixed.copy()
+    rolling = mixed
     for n in (2, 3, 4):
         if len(points) < n:
-            break
+            return found
         rolling = rolling[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mixed[n - 1 :] >> np.uint64(7)
         within = owner[: len(owner) - n + 1] == owner[n - 1 :]
-        found.append(((rolling * np.uint64(0x165667B19E3779F9)) >> np.uint64(49))[within])
-        owners.append(owner[: len(owner) - n + 1][within])
+        found.append((((rolling * np.uint64(0x165667B19E3779F9)) >> np.uint64(49)).astype(np.uint16)[within], owner[: len(owner) - n + 1][within]))
     blank = np.flatnonzero(points == 32)
-    if len(blank) > 1:  # whole words: sums of their letters' powers between two blanks
-        place = np.arange(len(points)) - np.repeat(blank, np.diff(np.append(blank, len(points))))[: len(points)]
-        power = mixed * ((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))
-        total = np.add.reduceat(power, blank)
-        real = np.diff(np.append(blank, len(points))) > 1
-        found.append(((total * np.uint64(0x165667B19E3779F9)) >> np.uint64(49))[real])
-        owners.append(owner[blank][real])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    grams, whose = np.concatenate(found).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(whose, kind="stable")
-    return grams[order], np.searchsorted(whose[order], np.arange(len(texts) + 1))
+    sizes = np.diff(np.append(blank, len(points)))
+    place = (np.arange(len(points)) - np.repeat(blank, sizes)).astype(np.uint64)
+    power = mixed * ((place + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))
+    real = sizes > 1
+    found.append((((np.add.reduceat(power, blank) * np.uint64(0x165667B19E3779F9)) >> np.uint64(49)).astype(np.uint16)[real], owner[blank][real]))
+    return found
+
+
+def features(texts: list[str], part: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all grams, text by text, and where each text's begin; made in parts, so that no more than a part's intermediate arrays are held."""
+    grams, sizes = [], []
+    for at in range(0, len(texts), part):
+        found = _grams(texts[at : at + part])
+        whose = np.concatenate([o for _, o in found]) if found else np.zeros(0, np.int32)
+        grams.append((np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.uint16))[np.argsort(whose, kind="stable")])
+        sizes.append(np.bincount(whose, minlength=len(texts[at : at + part])))
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+    return np.concatenate(grams) if grams else np.zeros(0, np.uint16), starts
 
 
 def _averages(embedding: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -107,9 +116,19 @@ def _train(texts: list[str], labels: np.ndarray, rng: np.random.Generator, epoch
     return model
 
 
-def probabilities(model: Classifier, texts: list[str]) -> np.ndarray:
-    grams, starts = features(texts)
-    return _softmax((_averages(model.embedding, grams, starts) @ model.weights + model.bias) / model.temperature)
+def probabilities(model: Classifier, texts: list[str], part: int = 2000) -> np.ndarray:
+    """Calibrated probabilities. The average of embeddings times the softmax's weights is the average of their products, so only a bucket's row of the product is looked up."""
+    table = (model.embedding @ model.weights).astype(np.float32)
+    out = np.zeros((len(texts), len(CODES)))
+    for at in range(0, len(texts), part):
+        some = texts[at : at + part]
+        total, count = np.zeros((len(some), len(CODES))), np.zeros(len(some))
+        for grams, owner in _grams(some):
+            count += np.bincount(owner, minlength=len(some))
+            for k in range(len(CODES)):
+                total[:, k] += np.bincount(owner, weights=table[grams, k], minlength=len(some))
+        out[at : at + part] = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
+    return out
 
 
 def without_accents(text: str) -> str:
@@ -117,7 +136,18 @@ def without_accents(text: str) -> str:
 
 
 def sentences_of(text: str) -> list[str]:
-    return [s.strip() for s in _SENTENCE.findall(text) if _LETTERS.search(s)]
+    out, begin = [], 0
+    for end in _END.finditer(text):
+        if not _DAY.search(text, max(begin, end.start() - 3), end.end()):
+            out.append(text[begin : end.end()].strip())
+            begin = end.end()
+    out.append(text[begin:].strip())
+    return [s for s in out if _LETTERS.search(s)]
+
+
+def is_full(sentence: str) -> bool:
+    """It has an end mark and, titles and names in quotation marks or brackets aside, three words."""
+    return _CLOSED.search(sentence) is not None and len(_LETTERS.findall(_ASIDE.sub(" ", sentence))) >= 3
 
 
 def fit_classifier(texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = 4) -> Classifier:
@@ -130,8 +160,9 @@ def fit_classifier(texts: list[str], labels: np.ndarray, seed: int = 11, epochs:
     held = rng.random(len(said)) < 0.1
     first = _train(said, y, rng, 2)
     p = probabilities(first, said)
-    clean = np.where(p.max(1) > 0.7, p.argmax(1), y)
-    learnt = [(s, k) for s, k, h in zip(said, clean, held, strict=True) if not h]
+    clean, told = p.argmax(1), p.max(1) > 0.5
+    held &= told
+    learnt = [(s, k) for s, k, h, t in zip(said, clean, held, told, strict=True) if t and not h]
     learnt += [(without_accents(s), k) for s, k in learnt[::4]]
     model = _train([s for s, _ in learnt], np.array([k for _, k in learnt]), rng, epochs)
     if held.sum() >= 50:
@@ -158,11 +189,11 @@ def _segmented(model: Classifier):
                 own = sentences_of(t or "")
                 said += own
                 owner += [i] * len(own)
-            for at in range(0, len(said), 4000):  # so that a very long text costs no more memory
-                p = probabilities(model, said[at : at + 4000])
+            for at in range(0, len(said), 2000):  # so that a very long text costs no more memory
+                p = probabilities(model, said[at : at + 2000])
                 for n, (best, sure) in enumerate(zip(p.argmax(1), p.max(1), strict=True)):
                     segments, text = out[owner[at + n]], said[at + n]
-                    full = int(len(_LETTERS.findall(text)) >= 3 and re.search(r"[.!?…][\"'”’»)\]]*$", text) is not None)
+                    full = int(is_full(text))
                     lang, place = (CODES[best] if sure >= model.least else None), (segments[-1]["first"] + segments[-1]["sentences"] if segments else 0)
                     if segments and (segments[-1]["lang"] == lang or lang is None):
                         last = segments[-1]
@@ -179,7 +210,7 @@ def _segmented(model: Classifier):
 def language_segments(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(``doc_id``, ``label``, ``first``, ``sentences``, ``full``, ``lang``, ``confidence``): each run of sentences of one language of each document, from its ``first`` (0) on.
 
-    ``label`` is the recorded language as a code ('' if missing, 'other' if none of the five), ``full`` counts sentences with an end mark and three words, ``confidence`` is the mean
+    ``label`` is the recorded language as a code ('' if missing, 'other' if none of the five), ``full`` counts whole sentences (``is_full``), ``confidence`` is the mean
     calibrated probability. Sentences that are rejected go with the run before them; a run at the beginning that is rejected has null for ``lang``. Texts that are null or without
     letters give no row. Whole texts are read; repeated rows of a ``doc_id`` count once.
     """

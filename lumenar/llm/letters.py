@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 BUCKETS = 1 << 16
 #: Ways of writing a label of each language, in lower case; longer tags are read by what stands before their hyphen or underscore.
 LANGUAGES = {"en": ("en", "eng", "english"), "fr": ("fr", "fra", "fre", "french", "français"), "de": ("de", "deu", "ger", "german", "deutsch"), "es": ("es", "spa", "spanish", "español"), "pt": ("pt", "por", "portuguese", "português")}
@@ -12,8 +15,7 @@ CODES = tuple(LANGUAGES)
 
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts in small letters, each text between blanks and every run of other characters than letters as one blank, and where each text begins."""
-    clean = ["".join(c if c.isalpha() else " " for c in t.lower()) for t in texts]
-    clean = [f" {' '.join(t.split())} " for t in clean]
+    clean = [f" {_NO_LETTERS.sub(' ', t.lower()).strip(' ')} " for t in texts]
     starts = np.zeros(len(clean) + 1, np.int64)
     np.cumsum([len(t) for t in clean], out=starts[1:])
     return np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32).astype(np.uint64), starts
