@@ -77,8 +77,8 @@ def copies_question(response: str, question: str) -> bool:
     return False
 
 
-def breaks_off(response: str, prompt_words: set[str], missing: float | None, endings: dict[str, float], frames: dict[str, float], whole: set[str]) -> bool:
-    """``whole``: texts that are often an answer by themselves. ``missing``: tokens beyond the text by the count (-1: no end mark), None if unknown. ``endings``: share of a word's uses that a sentence ends behind; ``frames``: share of texts with the same two first words that end with a full stop."""
+def breaks_off(response: str, prompt_words: set[str], missing: float | None, endings: dict[str, float], whole: set[str]) -> bool:
+    """``whole``: texts that are often an answer by themselves. ``missing``: tokens beyond the text by the count (-1: no end mark), None if unknown. ``endings``: share of a word's uses that a text ends behind."""
     text = response.rstrip()
     if _MARK.search(text):
         return True
@@ -95,12 +95,10 @@ def breaks_off(response: str, prompt_words: set[str], missing: float | None, end
         return True
     if len(used) >= 3 and last not in prompt_words and (share is None or share < 0.05) and any(w.startswith(last) for w in prompt_words):
         return True
-    if missing is not None:
-        return False
-    return bool(_INNER.search(text)) or (len(used) >= 3 and frames.get(" ".join(used[:2]), 0) >= 0.85)
+    return missing is None and _INNER.search(text) is not None
 
 
-def _judge(table, known: set[str], endings: dict[str, float], frames: dict[str, float], whole: set[str]):
+def _judge(table, known: set[str], endings: dict[str, float], whole: set[str]):
     @F.pandas_udf("string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for prompts, responses, missing in batches:
@@ -118,7 +116,7 @@ def _judge(table, known: set[str], endings: dict[str, float], frames: dict[str,
                 elif copies_question(r, question_of(p)):
                     out[i] = "copied_question"
                 else:
-                    if breaks_off(r, set(_WORD.findall(p.lower())), None if pd.isna(m) else m, endings, frames, whole):
+                    if breaks_off(r, set(_WORD.findall(p.lower())), None if pd.isna(m) else m, endings, whole):
                         out[i] = "truncated"
                     own_words = [w for w in _WORD.findall(r.lower()) if w in known]
                     if own_words:  # names tell no language
@@ -138,11 +136,10 @@ def _judge(table, known: set[str], endings: dict[str, float], frames: dict[str,
     return judge
 
 
-def ending_shares(responses: DataFrame, parts: int = 5000) -> tuple[dict[str, float], dict[str, float], set[str]]:
-    """How often a text ends behind a word, how often texts with the same two first words end with a full stop, and texts of up to four words that are often an answer by themselves.
+def ending_shares(responses: DataFrame, parts: int = 5000) -> tuple[dict[str, float], set[str]]:
+    """How often a text ends behind a word, and texts of up to four words that are often an answer by themselves.
 
-    An end is a word before an end mark or the last one of a text that begins with a small letter (a short answer). Counted over all ``responses`` (``text``); only words, openings and
-    answers that make up more than one in ``parts`` of the texts are kept, so the results have at most mean length x ``parts`` entries.
+    An end is a word before an end mark or the last one of a text that begins with a small letter (a short answer). Counted over all ``responses`` (``text``); only words and answers that make up more than one in ``parts`` of the texts are kept, so the results have at most mean length x ``parts`` entries.
     """
     least = max(20, responses.count() // parts)
     used = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+[.?!]?)"), F.lit(1))
@@ -151,11 +148,8 @@ def ending_shares(responses: DataFrame, parts: int = 5000) -> tuple[dict[str, fl
     ends = F.col("w").rlike(r"[.?!]$") | (F.col("short") & (F.col("i") == F.col("n") - 1))
     each = placed.groupBy(F.lower(F.regexp_replace("w", r"[.?!]$", "")).alias("word")).agg(F.count(F.lit(1)).alias("uses"), F.avg(ends.cast("double")).alias("share")).filter(F.col("uses") >= least)
     plain = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    opening = F.array_join(F.slice(plain, 1, 2), " ")
-    long = responses.filter(F.size(plain) >= 3)
-    begun = long.groupBy(opening.alias("frame")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("text").rlike(r"[.?!][\"'”’»)\]]*\s*$").cast("double")).alias("share")).filter(F.col("n") >= least)
     answers = responses.filter(F.size(plain) <= 4).groupBy(F.lower(F.array_join(plain, " ")).alias("answer")).count().filter(F.col("count") >= least)
-    return {r.word: r.share for r in each.collect()}, {r.frame: r.share for r in begun.collect()}, {r.answer for r in answers.collect()}
+    return {r.word: r.share for r in each.collect()}, {r.answer for r in answers.collect()}
 
 
 def frequent_vocabulary(texts: list[str], least: int = 5) -> set[str]:
@@ -176,10 +170,10 @@ def broken_pairs(prompts: DataFrame, generations: DataFrame, documents: DataFram
     fit = fit_tokenizer(g)
     bare = F.regexp_replace("text", MARK, "")
     missing = F.when((F.col("tokens") > 0) & has_word(F.col("text")), F.col("tokens") - token_count(bare, fit[0]) - fit[1]) if fit else F.lit(None).cast("int")
-    endings, frames, whole = ending_shares(both.filter(has_word(F.col("text"))).select("text"))
+    endings, whole = ending_shares(both.filter(has_word(F.col("text"))).select("text"))
     texts, labels = labelled_sample(documents, SAMPLE)
     if not texts:
         texts, labels = ["a"], labels.__class__((1,), dtype="int64") * 0
     table = fit_naive_bayes(texts, labels, 5)
-    judged = both.select("record_table", "record_key", _judge(table, frequent_vocabulary(texts), endings, frames, whole)("prompt", "text", missing.cast("double")).alias("defect"))
+    judged = both.select("record_table", "record_key", _judge(table, frequent_vocabulary(texts), endings, whole)("prompt", "text", missing.cast("double")).alias("defect"))
     return judged.filter("defect is not null").dropDuplicates(["record_table", "record_key"])

@@ -17,7 +17,7 @@ PIECES = range(2, 9)
 
 #: What a cut leaves behind: an ellipsis, a broken character, a hyphen within a word, a comma.
 MARK = r"(?U)\s*(?:…|\.\.\.|\[(?:\.\.\.|…)\]|\x{FFFD}|(?<=\w)-|,)\s*$"
-CLOSED = r"(?U)(?:[.?!…。][\"'”’»)\]]*|\b(?:Answer|Summary)\s*:)\s*$"
+CLOSED = r"(?U)(?:[.?!…。][\"'”’»)\]]*|\b(?i:Answer|Summary)\s*:)\s*$"
 
 
 def has_word(text: Column) -> Column:
@@ -46,7 +46,8 @@ def token_count(text: Column, piece: int) -> Column:
 
 
 def fit_tokenizer(values: DataFrame, least_share: float = 0.6) -> tuple[int, int] | None:
-    """Piece length and usual surplus (the end mark) that explain most of the counts of ``values`` (``text``, ``tokens``); None if none explains ``least_share`` of them.
+    """Piece length and usual surplus (the end mark) that explain most of the counts of ``values`` (``text``, ``tokens``); None if none explains ``least_share`` of them. Of pieces that
+    explain about as many, the one with the smaller surplus is taken.
 
     All rows are counted; at most 101 surpluses for each of the pieces in ``PIECES`` reach the driver.
     """
@@ -54,8 +55,12 @@ def fit_tokenizer(values: DataFrame, least_share: float = 0.6) -> tuple[int, int
     tried = counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("piece"), (F.col("tokens") - token_count(F.col("text"), k)).cast("int").alias("over")) for k in PIECES])).alias("t")).select("t.*")
     rows = tried.withColumn("over", F.greatest(F.lit(-50), F.least(F.lit(50), F.col("over")))).groupBy("piece", "over").count().collect()
     total = sum(r["count"] for r in rows if r.piece == PIECES[0])
-    best = max(((r["count"], -r.piece, -r.over) for r in rows if abs(r.over) < 50), default=None)
-    return None if best is None or best[0] < least_share * total else (-best[1], -best[2])
+    tops = [(r["count"], r.piece, r.over) for r in rows if abs(r.over) < 50]
+    most = max((n for n, _, _ in tops), default=0)
+    if not most or most < least_share * total:
+        return None
+    _, piece, over = min((t for t in tops if t[0] >= 0.97 * most), key=lambda t: (abs(t[2]), -t[0], t[1]))
+    return piece, over
 
 
 def longer_copies(values: DataFrame) -> DataFrame:

@@ -92,7 +92,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _train(texts: list[str], labels: np.ndarray, rng: np.random.Generator, epochs: int, rate: float = 1.0, batch: int = 64) -> Classifier:
     grams, starts = features(texts)
     model = Classifier(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(CODES)), np.float32), np.zeros(len(CODES), np.float32))
-    steps, total = 0, max(1, epochs * -(-len(texts) // batch))
+    each = max(1, -(-len(texts) // batch))
+    epochs = max(epochs, min(40, 600 // each))  # few sentences are gone through more often
+    steps, total = 0, epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(texts), batch):
