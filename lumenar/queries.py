@@ -294,7 +294,9 @@ def t5_sequence_nll(spark, d):
 
 def stream_drift(spark, d):
     rows = _generations(spark, d, "created_at", "calibrated_confidence", "routing_distance", "abstained")
-    return _rounded(drift(rows, window="7 days").withColumn("start", F.col("start").cast("date")), "mean_confidence", "mean_distance", "abstained")
+    means = ("mean_confidence", "mean_distance", "abstained")
+    out = drift(rows, window="7 days").withColumn("start", F.col("start").cast("date"))
+    return _rounded(out.withColumns({c: F.col(c) + 1e-9 for c in means}), *means)  # means of short decimals lie on halves: both sides are moved off them alike
 
 
 def queries() -> dict:
@@ -398,7 +400,7 @@ SELECT example_id, group_id, (row_number() OVER w - 1)::INTEGER AS turn_number,
 SELECT id AS example_id, 'Document: ' || d || chr(10) || 'Summary:' AS prompt, s AS response, id AS group_id FROM s WHERE d <> '' AND s <> ''""",
         "x1_canonical": rf"""WITH {_EX}, s AS (SELECT example_id, {_STRIP.format('prompt')} AS prompt, coalesce(nullif({_STRIP.format('group_id')}, ''), example_id) AS group_id, list_filter(list_transform([response] || coalesce("references", []), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS l FROM ex WHERE prompt IS NOT NULL AND response IS NOT NULL),
 t AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM s) SELECT example_id, length(prompt)::INTEGER AS prompt_length, group_id, len(d)::INTEGER AS "references", coalesce(list_aggregate(d, 'string_agg', '|'), '') AS joined FROM t""",
-        "stream_drift": f"""WITH {_GEN} SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01')::DATE AS start, count(*) AS generations, round(avg(calibrated_confidence), 6) AS mean_confidence, round(avg(routing_distance), 6) AS mean_distance, round(avg(abstained::INTEGER), 6) AS abstained FROM gen GROUP BY 1""",
+        "stream_drift": f"""WITH {_GEN} SELECT time_bucket(INTERVAL '7 days', created_at, TIMESTAMP '1970-01-01')::DATE AS start, count(*) AS generations, round(avg(calibrated_confidence) + 1e-9, 6) AS mean_confidence, round(avg(routing_distance) + 1e-9, 6) AS mean_distance, round(avg(abstained::INTEGER) + 1e-9, 6) AS abstained FROM gen GROUP BY 1""",
         "t5_sequence_nll": f"""WITH {_VEC}, x AS (SELECT example_id, unnest(range({DIM})) AS i, unnest(v)::DOUBLE AS x FROM vec), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY example_id)) AS e FROM x), p AS (SELECT *, e / sum(e) OVER (PARTITION BY example_id) AS p FROM e)
 SELECT example_id, round(-sum(CASE WHEN i % 3 <> 0 THEN ln(p) END), 4) AS nll, round(ln({DIM}) + sum(p * ln(p)), 4) AS kl, round(-ln({DIM}) - avg(ln(p)), 4) AS reverse_kl FROM p GROUP BY 1""",
     }
