@@ -1,39 +1,71 @@
 """Routing by distances to centroids, and what assignments tell (survey C1-C6, C12-C15, J1-J5, J9, A10-A12, L3, L4).
 
-Centroids are a fixed few (10 by default); they are collected once and travel as literals, so routing is a projection: no join, no shuffle, and it also works on a stream.
+Centroids are a fixed few (10 by default); they are collected once and travel with the function, so routing is a projection over Arrow batches: no join, no shuffle, and it also works on a stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import distance, entropy, router_distribution
+from ..functions.numeric import distance
 
 #: Centroids that are accepted as literals.
 MOST_CENTROIDS = 4096
 
 
-def centroid_literal(centroids: DataFrame) -> Column:
-    """The centroids in order of their ids, as an array of structs (id, centroid); more than ``MOST_CENTROIDS`` raise."""
+def centroid_rows(centroids: DataFrame) -> list[tuple[int, list[float]]]:
+    """The centroids in order of their ids; none or more than ``MOST_CENTROIDS`` raise."""
     rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").limit(MOST_CENTROIDS + 1).collect()
     if not 0 < len(rows) <= MOST_CENTROIDS:
         raise ValueError(f"1 to {MOST_CENTROIDS} centroids are needed")
-    return F.array(*[F.struct(F.lit(int(r.cluster_id)).alias("id"), F.lit([float(x) for x in r.centroid]).alias("centroid")) for r in rows])
+    return [(int(r.cluster_id), [float(x) for x in r.centroid]) for r in rows]
+
+
+def centroid_literal(centroids: DataFrame) -> Column:
+    """The centroids as an array of structs (id, centroid)."""
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(c).alias("centroid")) for i, c in centroid_rows(centroids)])
+
+
+def _router(centroids: list[tuple[int, list[float]]]):
+    """All that is known of a vector's route in one pass over a batch. Nested array functions would evaluate the distances once for each use of them."""
+    ids, at = np.array([i for i, _ in centroids]), np.array([c for _, c in centroids], dtype=np.float64)
+    many, names = len(ids) > 1, ("expert", "distance", "second_distance", "margin", "router_entropy", "router_max_probability")
+
+    @F.pandas_udf("struct<expert:int,distance:double,second_distance:double,margin:double,router_entropy:double,router_max_probability:double>")
+    def route(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for v in batches:
+            fits = np.flatnonzero([x is not None and len(x) == at.shape[1] for x in v])
+            found: dict[str, np.ndarray] = {}
+            if len(fits):
+                x = np.vstack(v.iloc[fits].to_numpy()).astype(np.float64)
+                d = np.sqrt(sum((x[:, k, None] - at[:, k]) ** 2 for k in range(at.shape[1])))
+                order = np.argsort(d, axis=1, kind="stable")
+                first = d[np.arange(len(x)), order[:, 0]]
+                second = d[np.arange(len(x)), order[:, 1]] if many else np.zeros(len(x))
+                z = -d / np.maximum(d.mean(1, keepdims=True), 1e-8)
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                q = np.maximum(p, 1e-12)
+                h = -(q * np.log(q)).sum(1) / np.log(len(ids)) if many else np.zeros(len(x))
+                found = {"expert": ids[order[:, 0]], "distance": first, "second_distance": second, "margin": second - first if many else np.zeros(len(x)), "router_entropy": h, "router_max_probability": p.max(1)}
+            out = pd.DataFrame({c: pd.Series(found.get(c, []), index=fits) for c in names}).reindex(range(len(v)))
+            yield out.astype(object).where(out.notna(), None)
+
+    return route
 
 
 def routed(rows: DataFrame, centroids: DataFrame, vector: str = "v") -> DataFrame:
     """``rows`` with ``expert``, ``distance``, ``second_distance``, ``margin``, ``router_entropy``, ``router_max_probability``.
 
-    Equal distances go to the lower id. With one centroid second distance, margin and entropy are 0 and the probability 1. Vectors that aren't finite or of another length raise nothing:
-    filter by ``finite_vector`` first, else the results are null.
+    Equal distances go to the lower id. With one centroid second distance, margin and entropy are 0 and the probability 1. For a vector that is null or of another length they are null;
+    numbers that aren't finite give no useful route: filter by ``finite_vector`` first.
     """
-    at = centroid_literal(centroids)
-    near = rows.withColumn("_d", F.transform(at, lambda c: F.struct(distance(F.col(vector), c["centroid"]).alias("d"), c["id"].alias("id"))))
-    ranked = near.withColumn("_r", F.array_sort("_d")).withColumn("_p", router_distribution(F.transform("_d", lambda s: s["d"])))
-    many = F.size("_d") > 1
-    second = F.when(many, F.get("_r", F.lit(1))["d"]).otherwise(0.0)
-    return ranked.select(*rows.columns, F.col("_r")[0]["id"].alias("expert"), F.col("_r")[0]["d"].alias("distance"), second.alias("second_distance"), F.when(many, second - F.col("_r")[0]["d"]).otherwise(0.0).alias("margin"), F.when(many, entropy(F.transform("_p", lambda p: F.greatest(p, F.lit(1e-12)))) / F.ln(F.size("_p").cast("double"))).otherwise(0.0).alias("router_entropy"), F.array_max("_p").alias("router_max_probability"))
+    return rows.withColumn("_r", _router(centroid_rows(centroids))(F.col(vector))).select(*rows.columns, "_r.*")
 
 
 def unrouted(rows: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ _R6 = "round({0}, 6) AS {1}"
 
 
 def calibration_report(spark: SparkSession, d: str) -> DataFrame:
-    """All measures of one confidence in one row."""
-    facts = _facts(spark, d)
+    """All measures of one confidence in one row; the facts are judged once and kept for all of them."""
+    facts = _facts(spark, d).persist()
     out = E.scalar_metrics(facts)
     for part in (E.calibration_error(E.reliability_bins(facts)), E.calibration_error(E.reliability_bins(facts, adaptive=True)).withColumnRenamed("ece", "adaptive_ece"), E.auroc(facts), E.risk_area(E.risk_coverage(facts)), E.spearman(facts, "confidence", "outcome"), E.false_positives_at_recall(facts)):
         out = out.crossJoin(part)
