@@ -75,7 +75,7 @@ def sigmoid(z: Column) -> Column:
 
 
 def clipped(p: Column, least: float = 0.0, most: float = 1.0) -> Column:
-    return F.least(F.greatest(p, F.lit(least)), F.lit(most))
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(least)), F.lit(most)))  # least and greatest pass over nulls
 
 
 def f1(overlap: Column, left: Column, right: Column) -> Column:

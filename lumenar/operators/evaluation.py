@@ -137,7 +137,7 @@ def abstained(confidence: Column, threshold: float | None) -> Column:
 def confidence_of(source: str) -> Column:
     """The confidence of a generation row by its source, within [0, 1]."""
     by = {
-        "moca_1p": F.col("calibrated_confidence"),
+        "single_pass": F.col("calibrated_confidence"),
         "first_token_entropy": F.coalesce("non_special_first_token_confidence", "first_token_confidence"),
         "sequence_probability": F.exp(F.col("sequence_log_probability") / F.greatest(F.col("generated_token_count"), F.lit(1))),
         "provided": F.col("confidence") if source == "provided" else F.lit(None),

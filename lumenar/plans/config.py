@@ -14,10 +14,10 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "data": {"name": "coqa", "train_ratio": 0.8, "validation_ratio": 0.1, "test_ratio": 0.1, "split_seed": 2026, "split_unit": "group", "use_official_splits": False, "use_history": False, "max_examples": None},
     "clustering": {"method": "kmeans", "clusters": "auto", "min_clusters": 2, "max_clusters": 10, "n_init": 10, "max_iter": 300, "tolerance": 1e-4, "silhouette_sample": 10_000, "fit_scope": "train"},
     "generation": {"temperature": 1.0, "top_p": 1.0, "top_k": 0, "max_new_tokens": 128},
-    "evaluation": {"confidence_source": "moca_1p", "correctness": "semantic", "correctness_threshold": 0.5, "features": ["mean_token_log_probability", "relative_routing_margin"], "l2": 1e-3, "max_rounds": 200, "tolerance": 1e-8, "bins": 15, "abstain_threshold": None},
+    "evaluation": {"confidence_source": "single_pass", "correctness": "semantic", "correctness_threshold": 0.5, "features": ["mean_token_log_probability", "relative_routing_margin"], "l2": 1e-3, "max_rounds": 200, "tolerance": 1e-8, "bins": 15, "abstain_threshold": None},
     "runtime": {"seed": 2026},
 }
-CHOICES = {"data.split_unit": {"example", "group"}, "clustering.method": {"kmeans", "random_balanced"}, "clustering.fit_scope": {"train", "all"}, "evaluation.confidence_source": {"moca_1p", "first_token_entropy", "sequence_probability", "provided"}, "evaluation.correctness": {"semantic", "rouge_1", "rouge_l"}}
+CHOICES = {"data.split_unit": {"example", "group"}, "clustering.method": {"kmeans", "random_balanced"}, "clustering.fit_scope": {"train", "all"}, "evaluation.confidence_source": {"single_pass", "first_token_entropy", "sequence_probability", "provided"}, "evaluation.correctness": {"semantic", "rouge_1", "rouge_l"}}
 POSITIVE = ("clustering.n_init", "clustering.max_iter", "clustering.silhouette_sample", "generation.max_new_tokens", "evaluation.max_rounds", "evaluation.bins")
 
 

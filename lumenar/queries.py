@@ -228,7 +228,7 @@ def k18_calibrated(spark, d):
 
 def k20_confidences(spark, d):
     rows = _generations(spark, d, "calibrated_confidence", "non_special_first_token_confidence", "first_token_confidence", "sequence_log_probability", "generated_token_count")
-    return _rounded(rows.select("generation_id", *[E.confidence_of(s).alias(s) for s in ("moca_1p", "first_token_entropy", "sequence_probability")]), "moca_1p", "first_token_entropy", "sequence_probability")
+    return _rounded(rows.select("generation_id", *[E.confidence_of(s).alias(s) for s in ("single_pass", "first_token_entropy", "sequence_probability")]), "single_pass", "first_token_entropy", "sequence_probability")
 
 
 def k24_out_of_distribution(spark, d):
@@ -384,8 +384,8 @@ o AS (SELECT generation_id, i, sum(least(ta.n, tb.n)) AS o FROM ta JOIN tb USING
 SELECT generation_id, round(max(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE 2.0 * o / (len(a) + len(b)) END), 6) AS rouge_1 FROM pairs LEFT JOIN o USING (generation_id, i) GROUP BY 1""",
         "k17_features": f"""WITH {_GEN} SELECT generation_id, round(-ln(1 + greatest(routing_distance, 0)), 12) AS negative_log_routing_distance, round(sequence_log_probability / greatest(generated_token_count, 1), 12) AS mean_token_log_probability,
 round(CASE WHEN second_routing_distance <= 1e-12 THEN 0 ELSE (second_routing_distance - routing_distance) / second_routing_distance END, 12) AS relative_routing_margin, round(1 - router_entropy, 12) AS router_confidence, round(-routing_distance_z, 12) AS negative_routing_distance_z FROM gen""",
-        "k20_confidences": f"""WITH {_GEN} SELECT generation_id, CASE WHEN calibrated_confidence IS NOT NULL THEN round(least(greatest(calibrated_confidence, 0), 1), 6) ELSE 0 END AS moca_1p, round(least(greatest(coalesce(non_special_first_token_confidence, first_token_confidence), 0), 1), 6) AS first_token_entropy,
-round(least(greatest(exp(sequence_log_probability / greatest(generated_token_count, 1)), 0), 1), 6) AS sequence_probability FROM gen""",
+        "k20_confidences": f"""WITH {_GEN}, c AS (SELECT generation_id, calibrated_confidence AS a, coalesce(non_special_first_token_confidence, first_token_confidence) AS b, exp(sequence_log_probability / greatest(generated_token_count, 1)) AS s FROM gen)
+SELECT generation_id, CASE WHEN a IS NOT NULL THEN round(least(greatest(a, 0), 1), 6) END AS single_pass, CASE WHEN b IS NOT NULL THEN round(least(greatest(b, 0), 1), 6) END AS first_token_entropy, CASE WHEN s IS NOT NULL THEN round(least(greatest(s, 0), 1), 6) END AS sequence_probability FROM c""",
         "k24_out_of_distribution": f"""WITH {_GEN}, both_of AS (SELECT 1 - non_special_first_token_confidence AS doubt, routing_distance AS distance, -routing_margin AS closeness, CASE WHEN source LIKE 'xsum%' THEN 1.0 ELSE 0.0 END AS y, _pos + CASE WHEN source LIKE 'xsum%' THEN 1099511627776 ELSE 0 END AS _pos FROM gen WHERE source LIKE 'coqa%' OR source LIKE 'xsum%')
 SELECT {_ood('doubt', 'confidence_auroc')}, round(({fpr.format(y='y', t='both_of', s='doubt')}), 6) AS confidence_fpr95, {_ood('distance', 'distance_auroc')}, {_ood('closeness', 'margin_auroc')}""",
         "w2_spearman": f"WITH {_GEN} SELECT round(corr(a, b), 6) AS spearman FROM (SELECT {_RANK.format('routing_distance')} AS a, {_RANK.format('first_token_entropy')} AS b FROM gen WHERE routing_distance IS NOT NULL AND first_token_entropy IS NOT NULL)",
