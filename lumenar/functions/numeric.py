@@ -36,9 +36,13 @@ def pooled(states: Column, mask: Column, how: str = "last") -> Column:
     return F.when(F.size(kept) > 0, F.try_element_at(kept, F.greatest(at, F.lit(1)))).otherwise(F.raise_error(F.lit("empty mask")))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(e, lambda x: x / total(e))
+    return once(scores, lambda s: once(F.array_max(s), lambda m: once(F.transform(s, lambda x: F.exp(x - m)), lambda e: once(total(e), lambda t: F.transform(e, lambda x: x / t)))))
 
 
 def router_distribution(distances: Column) -> Column:
@@ -49,8 +53,7 @@ def router_distribution(distances: Column) -> Column:
 
 def entropy(probabilities: Column, base: float | None = None) -> Column:
     """Of probabilities scaled to 1; 0 ln 0 is 0."""
-    mass = total(probabilities)
-    h = -total(F.transform(probabilities, lambda p: F.when(p > 0, p / mass * F.ln(p / mass)).when(p == 0, 0.0)))
+    h = once(probabilities, lambda ps: once(total(ps), lambda mass: -total(F.transform(ps, lambda p: F.when(p > 0, p / mass * F.ln(p / mass)).when(p == 0, 0.0)))))
     return h / F.ln(F.lit(float(base))) if base else h
 
 
