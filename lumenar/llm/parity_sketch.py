@@ -1,16 +1,17 @@
 """Near-duplicate records by a parity-sketch join (problem 5).
 
-Each text is a set of words. A parity sketch flips one bit per word, so the Hamming distance of two sketches never exceeds the number of words that only one of the texts has; texts whose
-overlap reaches ``threshold`` differ in at most ``(1 - t) / (1 + t) * (|A| + |B|)`` words. Two sketches are kept:
+Each text is a set of words, put in one order for all texts: rare words first, then the frequent ones from the scarcest to the most common. Candidates come from an exact filter on the
+beginnings of these lists: texts of sizes ``n`` and ``m`` whose overlap reaches ``t`` share at least ``t / (1 + t) * (n + m)`` words, so their first ``L`` common words stand within the first
+``n - t * n + L`` of either list, and within the first ``n - 2 * t / (1 + t) * n + L`` of the smaller text's. Let the first common word be
 
-* a wide one over the words that stand in at most ``common`` of all texts, cut into ``PARTS`` parts. A part's bits are kept as one 64-bit linear fingerprint (the exclusive or of the
-  words' hashes), which is equal for two texts exactly if the parts' bits are, up to 64-bit collisions. By the pigeonhole principle, texts that differ in at most ``PARTS - 2`` rare words
-  agree in two parts; texts are joined on pairs of equal non-empty parts, under a condition on their sizes.
-  Texts with rare words in fewer than ``FEW`` parts are also joined among themselves on a sketch of all their words, in size bands: a band's sketch has one part more than two of its texts
-  can differ in, so that any two that reach the threshold agree in one, be it empty.
-* a narrow one of 256 bits over all words, compared before any text is fetched.
+* rare: the texts meet on that word alone.
+* frequent: then so are all common words, and the texts meet on the first ``L`` of them together. ``L`` is 3, or less where the smaller text is so long that it would have too many combinations
+  (``LEVELS``). Texts so short that they could be linked by fewer common words than 3 also meet on single ones.
 
-Candidates are verified on their full word sets. Words of more than ``common`` of the texts tell texts apart so little that parts of them alone would join everything with everything.
+So no pair is missed, whatever the frequency of its words; no word is left out and there is no cap on keys or partners.
+
+A parity sketch flips one bit per word, so the Hamming distance of two sketches never exceeds the number of words that only one of the texts has; texts whose overlap reaches ``t`` differ in
+at most ``(1 - t) / (1 + t) * (n + m)`` words. A sketch of 256 bits over all words is compared before any text is fetched. What is left is verified on the full word sets.
 """
 
 from __future__ import annotations
@@ -21,56 +22,74 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, frequent_words, ordered_pair, words
 from .components import connected_components
 
-PARTS, FEW, WIDTH = 12, 3, 4
+WIDTH = 4
+#: Frequent words that are joined together in one key, and the most words that the smaller text has for it.
+LEVELS = {3: 120, 2: 600, 1: 1 << 31}
 COMMON = 0.001
 
 
-def _sketched(sets: DataFrame, common: float, threshold: float = 0.7) -> DataFrame:
-    """(``id``, ``n``, ``s0..s3``, ``key``), a row for each key, of each row (``id``, ``tokens``: distinct 64-bit word hashes)."""
+def _combined(words: Column, count: int, first: Column | None = None, so_far: tuple = ()) -> Column:
+    """(``key``, ``last``) of every ``count`` entries of ``words``, in order; ``last`` is the place of the last of them, from 0."""
+    first = F.lit(0) if first is None else first
+
+    def step(x: Column, i: Column) -> Column:
+        at = (first + i).cast("int")
+        return F.struct(F.xxhash64(F.lit("words"), *so_far, x).alias("key"), at.alias("last")) if count == 1 else _combined(words, count - 1, at + 1, (*so_far, x))
+
+    rest = F.slice(words, first + 1, F.greatest(F.size(words) - first, F.lit(0)))
+    made = F.transform(rest, step)
+    return made if count == 1 else F.flatten(made)
+
+
+def _indexed_up_to(last: Column):
+    return lambda k: F.struct(k["key"].alias("key"), (k["last"] <= last).alias("indexed"))
+
+
+def prefix_keys(sets: DataFrame, threshold: float, common: float = COMMON) -> DataFrame:
+    """(``id``, ``n``, ``s0..s3``, ``key``, ``indexed``), a row for each key of each row (``id``, ``tokens``: distinct 64-bit word hashes) with tokens.
+
+    Two texts that reach the threshold share a key that is ``indexed`` for the smaller of them, for either if they are of one size.
+    """
     each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequent = frequent_words(each, sets, common).withColumn("_frequent", F.lit(True))
-    marked = each.join(F.broadcast(frequent), "token", "left")
-    part = F.pmod(F.shiftright("token", 40), F.lit(PARTS)).cast("int")
-    rare = F.col("_frequent").isNull()
+    marked = each.join(F.broadcast(frequent_words(each, sets, common)), "token", "left")
     bit, word = F.expr("shiftleft(1L, cast(token & 63 as int))"), F.pmod(F.shiftright("token", 6), F.lit(WIDTH))
-    parts = [F.bit_xor(F.when(rare & (part == p), F.col("token"))).alias(f"p{p}") for p in range(PARTS)]
-    rows = marked.groupBy("id").agg(F.first("n").alias("n"), *[F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0)).alias(f"s{w}") for w in range(WIDTH)], F.bit_xor("token").alias("whole"), *parts)
-    full = F.array_compact(F.array(*[F.when(F.col(f"p{p}").isNotNull(), F.struct(F.lit(p).alias("part"), F.col(f"p{p}").alias("bits"))) for p in range(PARTS)]))
-    pairs = F.flatten(F.transform(full, lambda a, i: F.transform(F.slice(full, i + 2, PARTS), lambda b: F.xxhash64(a.part, a.bits, b.part, b.bits))))
     narrow = [f"s{w}" for w in range(WIDTH)]
-    keyed = rows.select("id", "n", *narrow, F.size(full).alias("parts"), F.explode(F.array_append(pairs, F.xxhash64(F.lit(-1), "whole"))).alias("key"))
-    few = keyed.select("id", "n", *narrow, "parts").distinct().filter(F.col("parts") < FEW)
-    return keyed.drop("parts").unionByName(_banded(sets, few, narrow, threshold))
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("texts_with", F.lit(0)).alias("often"), "token")))
+    rows = marked.groupBy("id").agg(F.first("n").alias("n"), *[F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0)).alias(s) for w, s in enumerate(narrow)], listed.alias("listed"))
+    least = lambda share: F.ceil(F.col("n") * share - 1e-9).cast("int")
+    # as ``any``: beside a text of any size; as ``small``: as the smaller one
+    rows = rows.withColumns({"any": F.col("n") - least(threshold), "small": F.col("n") - least(2 * threshold / (1 + threshold)), "rare": F.size(F.filter("listed", lambda w: w.often == 0))})
+    begin = lambda more: F.slice("listed", 1, F.least(F.col("n"), F.col("any") + more))
+    single = F.transform(begin(1), lambda w, i: F.struct(w.often.alias("often"), F.xxhash64(F.lit("word"), w.token).alias("key"), (i <= F.col("small")).alias("indexed")))
+    brief = least(threshold) < max(LEVELS)
+    keys = [F.transform(F.filter(single, lambda w: (w.often == 0) | brief), lambda w: F.struct(w.key.alias("key"), w.indexed.alias("indexed")))]
+    over = 0
+    for count, most in LEVELS.items():
+        often = F.transform(F.filter(begin(count), lambda w: w.often > 0), lambda w: w.token)
+        used = F.when((F.col("n") > over) & (least(threshold) <= most), often).otherwise(F.array().cast("array<bigint>"))
+        last = F.when(F.col("n") <= most, F.col("small") - F.col("rare") + count - 1).otherwise(-1)
+        keys.append(F.transform(_combined(used, count), _indexed_up_to(last)))
+        over = most
+    return rows.select("id", "n", *narrow, F.explode(F.concat(*keys)).alias("k")).select("id", "n", *narrow, "k.key", "k.indexed")
 
 
-def _banded(sets: DataFrame, few: DataFrame, narrow: list[str], threshold: float) -> DataFrame:
-    """Keys of texts with few rare words. Band ``g`` joins the sizes from ``(1 / t) ** g`` to ``(1 / t) ** (g + 2)``: every text is in two bands, and two partners share at least one."""
-    step = -F.log(F.lit(threshold))
-    band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    most = (1 - threshold) / (1 + threshold)
-    grown = sets.select("id", "tokens").join(few, "id").withColumn("g", F.explode(F.array(band, band - 1)))
-    parts = (F.floor(2 * most * F.pow(F.lit(1 / threshold), F.col("g") + 2)) + 1).cast("int")
-    each = grown.withColumn("m", parts).select("id", "n", *narrow, "g", "m", F.explode("tokens").alias("token")).withColumn("p", F.pmod(F.xxhash64(F.lit(3), "token"), F.col("m")))
-    filled = each.groupBy("id", "n", *narrow, "g", "m", "p").agg(F.bit_xor("token").alias("bits"))
-    every = grown.withColumn("m", parts).select("id", "n", *narrow, "g", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m").cast("bigint") - 1)).alias("p"))
-    full = every.join(filled.select("id", "g", "p", "bits"), ["id", "g", "p"], "left")
-    return full.select("id", "n", *narrow, F.xxhash64(F.lit("band"), "g", "p", F.coalesce("bits", F.lit(0))).alias("key"))
+def _sketched(sets: DataFrame, common: float, threshold: float = 0.7) -> DataFrame:
+    return prefix_keys(sets, threshold, common)
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, common: float = COMMON) -> DataFrame:
     """Distinct (``a``, ``b``), a < b, of rows of ``sets`` (``id`` bigint, ``tokens`` array<bigint>, free of repeats within a row and between rows) whose sketches allow the threshold."""
-    sketched = cut_lineage(_sketched(sets, common, threshold))
+    keyed = cut_lineage(_sketched(sets, common, threshold))
     bits = [f"s{w}" for w in range(WIDTH)]
-    keyed = sketched.select("id", "n", *bits, "key")
-    # keys of a single text join nothing: they are dropped by counts that are combined before the shuffle, and the rows with sketches follow only for the rest
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
+    # keys of a single text, or of none that is the smaller one, join nothing: they are dropped by counts that are combined before the shuffle
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.max("indexed").alias("_i")).filter("_c > 1 and _i").select("key")
     kept = keyed.join(shared, "key", "left_semi")
-    left, right = kept.select([F.col(c).alias(c if c == "key" else f"a_{c}") for c in kept.columns]), kept.select([F.col(c).alias(c if c == "key" else f"b_{c}") for c in kept.columns])
+    side = lambda rows, p: rows.select([F.col(c).alias(c if c == "key" else f"{p}_{c}") for c in ["key", "id", "n", *bits]])
     distance = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in bits), F.lit(0))
     most = (1 - threshold) / (1 + threshold)
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    near = left.join(right, "key").filter((F.col("a_id") < F.col("b_id")) & (small >= large * threshold - 1e-9) & (distance <= (F.col("a_n") + F.col("b_n")) * most + 1e-9))
-    return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    near = side(kept.filter("indexed"), "a").join(side(kept, "b"), "key").filter(ordered & (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (distance <= (F.col("a_n") + F.col("b_n")) * most + 1e-9))
+    return ordered_pair(near, "a_id", "b_id", "p").select(F.col("p_1").alias("a"), F.col("p_2").alias("b")).distinct()
 
 
 def text_sets(rows: DataFrame, key: str, text: Column) -> DataFrame:

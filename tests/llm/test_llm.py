@@ -110,6 +110,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, names):
     assert parity_sketch.key_pairs(member, links).count() == 0 and parity_sketch.duplicate_groups(member, links).count() == 0
 
 
+def test_links_in_a_hot_group(spark):
+    """Copies whose shared words are all frequent, each edited with words of its own."""
+    r = random.Random(21)
+    body = story(r, 12).split()
+    texts = [" ".join(body + [f"own{n}x{k}" for k in range(4)]) for n in range(12)] + [story(r) for _ in range(60)]
+    df = spark.createDataFrame([(f"x{n}", t) for n, t in enumerate(texts)], "id string, text string")
+    want = {tuple(sorted((f"x{a}", f"x{b}"))) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.7}
+    assert len(want) >= 66
+    assert rows(parity_sketch.key_pairs(*parity_sketch.near_duplicates(df, "id", F.col("text")))) == want
+
+
 def test_a_sketch_bounds_the_difference(spark):
     r = random.Random(2)
     df = spark.createDataFrame([(n, [hash((n % 7, k)) % (1 << 40) for k in range(r.randrange(3, 90))]) for n in range(40)], "id long, tokens array<long>").withColumn("tokens", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
