@@ -121,6 +121,21 @@ def test_links_in_a_hot_group(spark):
     assert rows(parity_sketch.key_pairs(*parity_sketch.near_duplicates(df, "id", F.col("text")))) == want
 
 
+def test_links_of_texts_with_three_rare_words(spark):
+    """Copies that keep one of three rare words, and copies with more than ten rare words changed."""
+    r = random.Random(22)
+    common, texts = [f"common{n}" for n in range(90)], []
+    for n in range(16):
+        some = r.sample(common, 40)
+        texts += [" ".join(some + [f"one{n}", f"two{n}", f"three{n}"]), " ".join(some + [f"one{n}", f"four{n}", f"five{n}"])]
+    own = [f"long{n}" for n in range(100)]
+    texts += [" ".join(own), " ".join(own[:83] + [f"other{n}" for n in range(17)])]
+    df = spark.createDataFrame([(f"x{n}", t) for n, t in enumerate(texts)], "id string, text string")
+    want = {tuple(sorted((f"x{a}", f"x{b}"))) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.7}
+    assert len(want) == 17
+    assert rows(parity_sketch.key_pairs(*parity_sketch.near_duplicates(df, "id", F.col("text")))) == want
+
+
 def test_a_sketch_bounds_the_difference(spark):
     r = random.Random(2)
     df = spark.createDataFrame([(n, [hash((n % 7, k)) % (1 << 40) for k in range(r.randrange(3, 90))]) for n in range(40)], "id long, tokens array<long>").withColumn("tokens", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
