@@ -1,7 +1,7 @@
 """Text cut off by field, token or transfer limits (problem 1).
 
-A self-join by prefix finds values that are strict prefixes of longer copies elsewhere: values with an open end are hashed over a fixed-length prefix and joined with the same prefixes of
-all values. In data whose records each have an excerpt of their own most cut values have no longer copy, so three kinds of evidence stand beside the join: an end (or beginning) that no
+A self-join by prefix finds values that are strict prefixes of longer copies elsewhere: values, whether their end is open or closed, are hashed over a fixed-length prefix and joined with the
+same prefixes of all values. In data whose records each have an excerpt of their own most cut values have no longer copy, so three kinds of evidence stand beside the join: an end (or beginning) that no
 whole sentence has, a mark of the transfer that cut it, and the token count, which tells whether the generator reached its end mark and whether text is missing after it.
 """
 
@@ -17,6 +17,10 @@ PIECES = range(2, 9)
 
 #: What a cut leaves behind: an ellipsis, a broken character, a hyphen within a word, a comma.
 MARK = r"(?U)\s*(?:…|\.\.\.|\[(?:\.\.\.|…)\]|\x{FFFD}|(?<=\w)-|,)\s*$"
+#: A prompt that ends with its closing label is whole, and one that a longer copy goes on from with such a label.
+LABEL, LABEL_NEXT = r"(?U)\b(?i:Answer|Summary)\s*:\s*$", r"(?U)^\s*(?i:Answer|Summary)\s*:"
+#: Letters of the longer copy that are compared with ``LABEL_NEXT``.
+BEYOND = 12
 CLOSED = r"(?U)(?:[.?!…。][\"'”’»)\]]*|\b(?i:Answer|Summary)\s*:)\s*$"
 
 
@@ -64,30 +68,34 @@ def fit_tokenizer(values: DataFrame, least_share: float = 0.6) -> tuple[int, int
 
 
 def longer_copies(values: DataFrame) -> DataFrame:
-    """(``value_id``, ``within_word``) of the open values that are strict prefixes of a longer value; ``within_word`` if some copy goes on with a letter.
+    """(``value_id``, ``within_word``, ``unlabelled``) of the open values that are strict prefixes of a longer value; ``within_word`` if some copy goes on with a letter, ``unlabelled`` if some
+    copy goes on otherwise than with a closing label.
 
     ``values``: (``value_id`` bigint, ``text``, ``open``), one row per different text. An open value of at least 16 letters is hashed over its longest prefix in ``LADDER``; every value is
-    hashed over all prefixes shorter than itself and brings along only the letters up to the next length, against which the rest of the open value is compared. So a row is sent once per
-    prefix but no letter twice, and a prefix that begins a third of all values meets only the few open values that end within the next 8 letters.
+    hashed over all prefixes shorter than itself and brings along only the letters up to the next length and a few more, against which the rest of the open value is compared. So a row is sent once per
+    prefix but hardly a letter twice, and a prefix that begins a third of all values meets only the few open values that end within the next 8 letters.
     """
     step = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in zip(LADDER, [*LADDER[1:], 1 << 20], strict=True)])
     parts = values.withColumn("step", F.explode(F.filter(step, lambda s: s.n <= F.length("text"))))
     n, m = F.col("step.n"), F.col("step.m")
     key = F.xxhash64(n, F.substring(F.col("text"), F.lit(1), n))
-    rest = F.substring(F.col("text"), n + 1, m - n + 1)
-    copies = parts.select(key.alias("key"), rest.alias("more")).repartition("key").distinct()
+    rest, more = F.substring(F.col("text"), n + 1, m - n + 1), F.substring(F.col("text"), n + 1, m - n + BEYOND)
+    copies = parts.select(key.alias("key"), more.alias("more")).repartition("key").distinct()
     last = parts.filter(F.col("open") & (F.length("text") < m)).select("value_id", key.alias("key"), rest.alias("rest"), F.substring("text", -1, 1).alias("end"))
     found = last.join(copies, "key").filter((F.length("more") > F.length("rest")) & F.col("more").startswith(F.col("rest")))
     after = F.substring(F.col("more"), F.length("rest") + 1, F.lit(1))
-    return found.groupBy("value_id").agg(F.max(F.col("end").rlike(r"[\p{L}\p{N}]") & after.rlike(r"[\p{L}\p{N}]")).alias("within_word"))
+    beyond = F.substring(F.col("more"), F.length("rest") + 1, F.lit(BEYOND))
+    within = F.col("end").rlike(r"[\p{L}\p{N}]") & after.rlike(r"[\p{L}\p{N}]")
+    return found.groupBy("value_id").agg(F.max(within).alias("within_word"), F.max(~beyond.rlike(LABEL_NEXT)).alias("unlabelled"))
 
 
 def cut_records(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per record with an open end or beginning or a count that doesn't fit: (``record_table``, ``record_key``, ``source``, ``longer_copy``, ``mark``, ``start``, ``tokens_missing``, ``cut``).
+    """One row per record with an open end or beginning, a longer copy or a count that doesn't fit: (``record_table``, ``record_key``, ``source``, ``longer_copy``, ``mark``, ``start``, ``tokens_missing``, ``cut``).
 
-    ``tokens_missing``: by how many tokens the count surpasses what the text accounts for (-1: no end mark; null where counts tell nothing). A prompt is cut if its end or beginning is open.
-    A response is cut if it bears a mark, lacks the end mark or misses two or more tokens; one missing token is as a rule its full stop, and then, as where there are no usable counts, it
-    takes a longer copy that goes on within the last word. Short answers without a full stop are not cut for that.
+    ``tokens_missing``: by how many tokens the count surpasses what the text accounts for (-1: no end mark; null where counts tell nothing). A prompt is cut if its end or beginning is open, or
+    if it ends without a closing label and a longer copy goes on otherwise than with one (so a cut behind a sentence counts, and the history of a dialogue doesn't).
+    A response is cut if it bears a mark, lacks the end mark or misses two or more tokens; one missing token is as a rule its full stop, and then it
+    takes a longer copy that goes on within the last word. Where there are no usable counts any longer copy makes it cut. Short answers without a full stop are not cut for that.
 
     Null, blank or wordless texts and null keys give no row; repeated rows of a key count once; empty tables give no rows. The only broadcast or collected data are the sums of ``fit_tokenizer``.
     """
@@ -98,15 +106,16 @@ def cut_records(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     missing = F.when(F.col("tokens") > 0, F.col("tokens") - token_count(bare, fit[0]) - fit[1]) if fit else F.lit(None).cast("int")
     records = p.unionByName(r).filter(F.col("record_key").isNotNull() & has_word(F.col("text"))).withColumn("value_id", F.xxhash64("text"))
     is_prompt = F.col("record_table") == "prompt_response"
-    marks = records.select("record_table", "record_key", "source", "value_id", cut_mark(F.col("text")).alias("mark"), open_end(F.col("text")).alias("end"), (is_prompt & open_start(F.col("text"))).alias("start"), F.when(~is_prompt, missing).alias("tokens_missing"))
-    suspect = marks.filter(F.col("end") | F.col("start") | F.coalesce(F.col("tokens_missing") != 0, F.lit(False)))
-    values = records.groupBy("value_id").agg(F.any_value("text").alias("text")).withColumn("open", open_end(F.col("text")) & ~cut_mark(F.col("text")))
-    joined = suspect.join(longer_copies(values), "value_id", "left")
-    lost = F.coalesce(F.col("tokens_missing"), F.lit(1))
-    response = F.col("mark") | (lost < 0) | (lost >= 2) | ((lost == 1) & F.col("end") & F.coalesce("within_word", F.lit(False)))
-    prompt = F.col("end") | F.col("start")
+    marks = records.select("record_table", "record_key", "source", "value_id", cut_mark(F.col("text")).alias("mark"), open_end(F.col("text")).alias("end"), (is_prompt & open_start(F.col("text"))).alias("start"), F.col("text").rlike(LABEL).alias("labelled"), F.when(~is_prompt, missing).alias("tokens_missing"))
+    values = records.groupBy("value_id").agg(F.any_value("text").alias("text")).withColumn("open", ~cut_mark(F.col("text")))
+    copied = F.col("within_word").isNotNull()
+    suspect = marks.join(longer_copies(values), "value_id", "left").filter(F.col("end") | F.col("start") | copied | F.coalesce(F.col("tokens_missing") != 0, F.lit(False)))
+    lost = F.col("tokens_missing")
+    counted = (lost < 0) | (lost >= 2) | ((lost == 1) & F.col("end") & F.coalesce("within_word", F.lit(False)))
+    response = F.col("mark") | F.coalesce(counted, copied)
+    prompt = F.col("end") | F.col("start") | (~F.col("labelled") & F.coalesce("unlabelled", F.lit(False)))
     cut = F.when(F.col("record_table") == "prompt_response", prompt).otherwise(response)
-    return joined.select("record_table", "record_key", "source", F.col("within_word").isNotNull().alias("longer_copy"), "mark", "start", "tokens_missing", cut.alias("cut")).dropDuplicates(["record_table", "record_key"])
+    return suspect.select("record_table", "record_key", "source", copied.alias("longer_copy"), "mark", "start", "tokens_missing", cut.alias("cut")).dropDuplicates(["record_table", "record_key"])
 
 
 def cut_rates(prompts: DataFrame, responses: DataFrame) -> DataFrame:

@@ -206,6 +206,19 @@ def test_cut_texts(spark):
     assert cut_text.cut_records(prompts(spark, []), g.limit(0)).count() == 0
 
 
+def test_prompts_cut_behind_a_sentence(spark):
+    """Closed values with a longer copy are cut, but not whole prompts that an answer follows; responses without count are by any longer copy."""
+    r = random.Random(23)
+    body = [story(r, 3) for _ in range(4)]
+    whole = f"Story: {body[1]}\nQuestion: Who sold it?"
+    data = {"cut": f"Story: {body[0]}", "full": f"Story: {body[0]} {sentence(r)}\nQuestion: Who hid it?\nAnswer:", "asked": whole, "label": f"{whole}\nAnswer:", "history": f"{whole}\nAnswer: the miller\nQuestion: Where?\nAnswer:", "alone": f"Story: {body[2]}"}
+    answer = "It was the miller who sold the bell near the quay."
+    g = spark.createDataFrame([(k, None, t, None, "x", 5, "clash") for k, t in (("g1", answer), ("g2", answer[:22].rstrip()), ("g3", "It was the tailor of the town."))], GENERATIONS)
+    out = cut_text.cut_records(prompts(spark, [{"example_id": k, "prompt": t} for k, t in data.items()]), g)
+    assert rows(out.filter("cut").select("record_key")) == {("cut",), ("g2",)}
+    assert {x.record_key for x in out.filter("longer_copy").collect()} >= {"cut", "g2"}
+
+
 def test_prefixes_against_brute_force(spark):
     r = random.Random(6)
     values = sorted({story(r, 3)[: r.randrange(5, 160)] for _ in range(150)} | {story(random.Random(n), 3) for n in range(20)} | {story(random.Random(n), 3)[: 20 + 9 * n] for n in range(12)})
