@@ -77,18 +77,28 @@ def _sketched(sets: DataFrame, common: float, threshold: float = 0.7) -> DataFra
     return prefix_keys(sets, threshold, common)
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, common: float = COMMON) -> DataFrame:
-    """Distinct (``a``, ``b``), a < b, of rows of ``sets`` (``id`` bigint, ``tokens`` array<bigint>, free of repeats within a row and between rows) whose sketches allow the threshold."""
-    keyed = cut_lineage(_sketched(sets, common, threshold))
+def candidate_pairs(sets: DataFrame, threshold: float, common: float = COMMON, across: str | None = None) -> DataFrame:
+    """Distinct (``a``, ``b``), a < b, of rows of ``sets`` (``id`` bigint, ``tokens`` array<bigint>, free of repeats within a row) whose sketches allow the threshold.
+
+    ``across``: a column that is 0 or 1; then ``a`` is of the rows with 0 and ``b`` of those with 1.
+    """
+    sides = [across] if across else []
+    keyed = _sketched(sets, common, threshold)
+    keyed = cut_lineage(keyed.join(sets.select("id", *sides), "id") if across else keyed)
     bits = [f"s{w}" for w in range(WIDTH)]
     # keys of a single text, or of none that is the smaller one, join nothing: they are dropped by counts that are combined before the shuffle
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.max("indexed").alias("_i")).filter("_c > 1 and _i").select("key")
+    both = F.min(across) < F.max(across) if across else F.lit(True)
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.max("indexed").alias("_i"), both.alias("_b")).filter("_c > 1 and _i and _b").select("key")
     kept = keyed.join(shared, "key", "left_semi")
-    side = lambda rows, p: rows.select([F.col(c).alias(c if c == "key" else f"{p}_{c}") for c in ["key", "id", "n", *bits]])
+    side = lambda rows, p: rows.select([F.col(c).alias(c if c == "key" else f"{p}_{c}") for c in ["key", "id", "n", *sides, *bits]])
     distance = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in bits), F.lit(0))
     most = (1 - threshold) / (1 + threshold)
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     near = side(kept.filter("indexed"), "a").join(side(kept, "b"), "key").filter(ordered & (F.col("a_n") >= F.col("b_n") * threshold - 1e-9) & (distance <= (F.col("a_n") + F.col("b_n")) * most + 1e-9))
+    if across:
+        near = near.filter(F.col(f"a_{across}") != F.col(f"b_{across}"))
+        first = F.col(f"a_{across}") == 0
+        return near.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("a"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("b")).distinct()
     return ordered_pair(near, "a_id", "b_id", "p").select(F.col("p_1").alias("a"), F.col("p_2").alias("b")).distinct()
 
 

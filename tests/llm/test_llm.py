@@ -169,6 +169,17 @@ def test_split_overlap_against_brute_force(spark):
     assert split_overlap.found_pairs(prompts(spark, [])).count() == 0
 
 
+def test_split_overlap_in_a_hot_passage(spark):
+    """Copies whose shared words are all frequent, edited in every sentence by words of their own."""
+    r = random.Random(24)
+    passage = [sentence(r) for _ in range(10)]
+    copies = [" ".join(s.replace(" near ", f" own{n} near " if k % 4 == n % 4 else " near ").replace(" the ", f" the{'' if k % 2 == n % 2 else ' very'} ") for k, s in enumerate(passage)) for n in range(8)]
+    data = [{"example_id": f"x{n}", "prompt": f"Story: {c}\nQuestion: Who hid it?\nAnswer:", "split": "test" if n % 2 else "train"} for n, c in enumerate(copies)]
+    want = {tuple(sorted((a["example_id"], b["example_id"]))) for a, b in combinations(data, 2) if a["split"] != b["split"] and jaccard(a["prompt"], b["prompt"]) >= 0.7}
+    assert len(want) == 16
+    assert rows(split_overlap.found_pairs(prompts(spark, data))) == want
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("Who sold it?", "Who really sold it", True), ("Who fuond a sall telescope?", "Who found a small telescope?", True), ("What is said of the miller?", "What is said of the tailor?", False), ("", "Who?", False), ("", "", True)])
 def test_same_question(spark, a, b, same):
     df = spark.createDataFrame([(a, b)], "a string, b string")
