@@ -65,7 +65,7 @@ def silhouettes(sample: DataFrame, key: str = "example_id", vector: str = "v", c
     return sample.select(key, vector, cluster).mapInPandas(block, f"{key} string, silhouette double")
 
 
-def fit_clusters(rows: DataFrame, key: str = "example_id", vector: str = "v", fixed: int | None = None, most: int = 10, starts: int = 3, seed: int = 2026) -> tuple[DataFrame, dict[int, list[float]], dict[int, float]]:
+def fit_clusters(rows: DataFrame, key: str = "example_id", vector: str = "v", fixed: int | None = None, most: int = 10, starts: int = 10, seed: int = 2026) -> tuple[DataFrame, dict[int, list[float]], dict[int, float]]:
     """Assignments (``key``, ``v``, ``cluster``), centroids by cluster, silhouettes by number of clusters.
 
     ``rows`` need finite vectors. For each number the best of ``starts`` seedings by cost is kept; of equal silhouettes the lower number wins. Passes over the data are MLlib's; only

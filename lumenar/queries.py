@@ -152,7 +152,7 @@ def c9_silhouette(spark, d):
 
 
 def c7_fitted_clusters(spark, d):
-    assigned, _, _ = C.fit_clusters(_vectors(spark, d), most=6, starts=1)
+    assigned, _, _ = C.fit_clusters(_vectors(spark, d))
     return assigned.select("example_id", "cluster")
 
 

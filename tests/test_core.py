@@ -1,5 +1,6 @@
 """Core operators against SQL on the smallest tables and against plain Python."""
 
+import inspect
 import json
 import math
 import random
@@ -171,6 +172,20 @@ def test_calibrator_against_newton(spark, tmp_path):
         K.feature("price")
 
 
+def test_fitted_clusters_try_the_whole_range(spark, monkeypatch):
+    given, fit = {}, inspect.signature(C.fit_clusters)
+
+    def held(*args, **named):
+        bound = fit.bind(*args, **named)
+        bound.apply_defaults()
+        given.update(bound.arguments)
+        return args[0].withColumn("cluster", F.lit(0)), {}, {}
+
+    monkeypatch.setattr(C, "fit_clusters", held)
+    queries.c7_fitted_clusters(spark, str(DATA))
+    assert C.candidate_counts(1000, most=given["most"], fixed=given["fixed"]) == list(range(2, 11)) and given["starts"] == 10
+
+
 def test_routing_and_clusters(spark, tmp_path):
     vectors = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 0.0]), ("tie", [1.0, 0.0])], "example_id string, v array<float>")
     centroids = spark.createDataFrame([(1, [2.0, 0.0]), (0, [0.0, 0.0])], "cluster_id int, centroid array<float>")
