@@ -77,15 +77,9 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def frequent_words(tokens: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """(``token``, ``texts_with``) of the tokens standing in more than ``share`` of all texts.
-
-    ``tokens`` has one row with a ``token`` per distinct token of a text, ``texts`` one row per text. Counts cover all texts. The result has at most mean text length / share rows (60 words a text and a share
-    of 0.001: 60,000), however large the corpus, so it may be broadcast.
-    """
-    total = texts.agg(F.count(F.lit(1)).alias("texts"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts_with"))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("texts_with") > F.greatest(F.lit(2.0), F.col("texts") * share)).select("token", "texts_with")
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast only if it has at most ``rows`` rows; else it is joined by a shuffle. It is counted, so it should be a written table of few short columns."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ordered_pair(df: DataFrame, a: str, b: str, name: str) -> DataFrame:

@@ -136,13 +136,34 @@ def test_links_of_texts_with_three_rare_words(spark):
     assert rows(parity_sketch.key_pairs(*parity_sketch.near_duplicates(df, "id", F.col("text")))) == want
 
 
-def test_a_sketch_bounds_the_difference(spark):
+def test_a_sketch_bounds_the_difference():
     r = random.Random(2)
-    df = spark.createDataFrame([(n, [hash((n % 7, k)) % (1 << 40) for k in range(r.randrange(3, 90))]) for n in range(40)], "id long, tokens array<long>").withColumn("tokens", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
-    sets = {x.id: set(x.tokens) for x in df.collect()}
-    bits = {x.id: [x[f"s{w}"] for w in range(4)] for x in parity_sketch._sketched(df, 0.5).drop("key").distinct().collect()}
-    for a, b in combinations(sets, 2):
-        assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= len(sets[a] ^ sets[b])
+    sets = [{hash((n % 7, k)) % (1 << 40) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(r.randrange(3, 90))} for n in range(40)]
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    bits = parity_sketch.sketches(np.array([x for s in sets for x in s], np.uint64), starts)
+    for a, b in combinations(range(len(sets)), 2):
+        assert sum((int(x) ^ int(y)).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= len(sets[a] ^ sets[b])
+
+
+@pytest.mark.parametrize("rare", [0, 2, 20])
+def test_links_however_few_words_are_rare(spark, rare):
+    """Texts of few different words, edited in any number of places; every word, some or none count as frequent."""
+    r = random.Random(31)
+    vocabulary = [f"w{n}" for n in range(130)]
+    sets = []
+    for n in range(60):
+        base = r.sample(vocabulary, r.choice([1, 2, 3, 5, 9, 14, 30, 60, 110]))
+        sets.append(base)
+        for _ in range(4):
+            edited = [w for w in base if r.random() > 0.12] + [r.choice(vocabulary) if r.random() < 0.5 else f"own{n}{r.random()}" for _ in range(len(base) // 7 + (r.random() < 0.2))]
+            sets.append(list(dict.fromkeys(edited)) or base)
+    df = spark.createDataFrame([(n, s, n % 2) for n, s in enumerate(sets)], "id long, words array<string>, side int").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
+    for threshold in (0.5, 0.7, 0.8):
+        want = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(set(sets[a]) & set(sets[b])) >= threshold * len(set(sets[a]) | set(sets[b]))}
+        assert len(want) > 60
+        assert want <= rows(parity_sketch.candidate_pairs(df, threshold, rare=rare))
+        split = {tuple(sorted(p, key=lambda n: n % 2)) for p in want if sum(p) % 2}
+        assert split <= rows(parity_sketch.candidate_pairs(df, threshold, "side", rare=rare))
 
 
 def test_split_overlap_against_brute_force(spark):
