@@ -330,7 +330,7 @@ def test_markov_clusters(spark):
     strays = [(f"stray{n}", [float(x) for x in rng.normal(0, 30, 24)]) for n in range(4)]
     odd = [("null", None), ("short", [1.0] * 23), ("nan", [float("nan")] * 24), ("zero", [0.0] * 24), ("inf", [float("inf")] + [1.0] * 23), (None, [1.0] * 24), data[0]]
     df = spark.createDataFrame([(*d, "clash", 1) for d in data + strays + odd], "example_id string, v array<float>, key string, cluster int")
-    members, clusters = markov_clusters.cluster_vectors(df, landmarks=64)
+    members, clusters = markov_clusters.cluster_vectors(df)
     centroids = spark.createDataFrame([(c, [float(x) for x in middles[c] + 0.3], "train") for c in range(4)], "cluster_id int, centroid array<float>, fit_scope string")
     named = dict(rows(markov_clusters.name_clusters(members, clusters, centroids)))
     assert named == {k: int(k[1]) for k, _ in data if int(k[1]) < 4}
@@ -340,6 +340,29 @@ def test_markov_clusters(spark):
     assert markov_clusters.name_clusters(members, clusters, centroids).count() == 0 and markov_clusters.describe_clusters(members, clusters).count() == 0
 
 
+def agreement(a, b):
+    """Adjusted agreement of two divisions (1: equal, 0: by chance)."""
+    pairs = lambda counts: (counts * (counts - 1) / 2).sum()
+    _, x = np.unique(a, return_inverse=True)
+    _, y = np.unique(b, return_inverse=True)
+    both, one, two, n = pairs(np.unique(x * (y.max() + 1) + y, return_counts=True)[1]), pairs(np.bincount(x)), pairs(np.bincount(y)), len(x)
+    chance = one * two / (n * (n - 1) / 2)
+    return (both - chance) / ((one + two) / 2 - chance)
+
+
+@pytest.mark.parametrize("sizes", [[20] * 600, [400] * 40 + [20] * 60, [9000] + [60] * 30])
+def test_clusters_of_any_number_and_size(spark, sizes):
+    rng = np.random.default_rng(14)
+    middles = rng.normal(0, 3, (len(sizes), 24))
+    truth = np.repeat(np.arange(len(sizes)), sizes)
+    x = middles[truth] + rng.normal(0, 0.5, (len(truth), 24))
+    df = spark.createDataFrame([(f"x{n}", v) for n, v in enumerate(x.tolist())], "example_id string, v array<float>")
+    members, clusters = markov_clusters.cluster_vectors(df)
+    found = {r.key: r.cluster for r in members.select("key", "cluster").collect()}
+    assert len(found) == len(x) and agreement(truth, np.array([found[f"x{n}"] for n in range(len(x))])) > 0.97
+    assert abs(clusters.count() - len(sizes)) <= 0.03 * len(sizes)
+
+
 def test_flow_rests_on_attractors(spark):
     rings = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(base, base + 5)] + [(4, 10, 0.01), (10, 4, 0.01)]
     flow = markov_clusters.markov_flow(spark.createDataFrame(rings, "i int, j int, w double"))
