@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Prefix lengths that are hashed, each up to half as long again as the one before, up to 24,576 letters; a value is matched by the longest that it reaches and then compared in full.
+#: Shorter values than the first are prefixes of others by chance (a name of a longer name), which tells nothing, and are not matched.
 LADDER = [16, 24, *(n << k for k in range(10) for n in (32, 48))]
 #: Letters per token piece that are tried for a generator's subword tokenizer.
 PIECES = range(2, 9)
@@ -75,12 +76,12 @@ def longer_copies(values: DataFrame) -> DataFrame:
     hashed over all prefixes shorter than itself and brings along only the letters up to the next length and a few more, against which the rest of the open value is compared. So a row is sent once per
     prefix but hardly a letter twice, and a prefix that begins a third of all values meets only the few open values that end within the next 8 letters.
     """
-    step = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in zip(LADDER, [*LADDER[1:], 1 << 20], strict=True)])
+    step = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in zip(LADDER, [*LADDER[1:], 1 << 30], strict=True)])
     parts = values.withColumn("step", F.explode(F.filter(step, lambda s: s.n <= F.length("text"))))
     n, m = F.col("step.n"), F.col("step.m")
     key = F.xxhash64(n, F.substring(F.col("text"), F.lit(1), n))
     rest, more = F.substring(F.col("text"), n + 1, m - n + 1), F.substring(F.col("text"), n + 1, m - n + BEYOND)
-    copies = parts.select(key.alias("key"), more.alias("more")).repartition("key").distinct()
+    copies = parts.select(key.alias("key"), more.alias("more")).distinct()
     last = parts.filter(F.col("open") & (F.length("text") < m)).select("value_id", key.alias("key"), rest.alias("rest"), F.substring("text", -1, 1).alias("end"))
     found = last.join(copies, "key").filter((F.length("more") > F.length("rest")) & F.col("more").startswith(F.col("rest")))
     after = F.substring(F.col("more"), F.length("rest") + 1, F.lit(1))
@@ -90,9 +91,9 @@ def longer_copies(values: DataFrame) -> DataFrame:
 
 
 def cut_records(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per record with an open end or beginning, a longer copy or a count that doesn't fit: (``record_table``, ``record_key``, ``source``, ``longer_copy``, ``mark``, ``start``, ``tokens_missing``, ``cut``).
+    """One row per record with an open end or beginning, a longer copy or a count that doesn't fit: (``record_table``, ``record_key``, ``source``, ``longer_copy``, ``mark``, ``start``, ``tokens_missing``, ``evidence``, ``cut``).
 
-    ``tokens_missing``: by how many tokens the count surpasses what the text accounts for (-1: no end mark; null where counts tell nothing). A prompt is cut if its end or beginning is open, or
+    ``evidence`` names what decided of a cut record, the join first: ``longer_copy``, ``mark`` (of the transfer), ``count`` (of tokens), ``start`` or ``end``; null if it isn't cut. ``tokens_missing``: by how many tokens the count surpasses what the text accounts for (-1: no end mark; null where counts tell nothing). A prompt is cut if its end or beginning is open, or
     if it ends without a closing label and a longer copy goes on otherwise than with one (so a cut behind a sentence counts, and the history of a dialogue doesn't).
     A response is cut if it bears a mark, lacks the end mark or misses two or more tokens; one missing token is as a rule its full stop, and then it
     takes a longer copy that goes on within the last word. Where there are no usable counts any longer copy makes it cut. Short answers without a full stop are not cut for that.
@@ -115,12 +116,16 @@ def cut_records(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     response = F.col("mark") | F.coalesce(counted, copied)
     prompt = F.col("end") | F.col("start") | (~F.col("labelled") & F.coalesce("unlabelled", F.lit(False)))
     cut = F.when(F.col("record_table") == "prompt_response", prompt).otherwise(response)
-    return suspect.select("record_table", "record_key", "source", copied.alias("longer_copy"), "mark", "start", "tokens_missing", cut.alias("cut")).dropDuplicates(["record_table", "record_key"])
+    by_copy = F.when(is_prompt, copied & (F.col("start") | F.col("end") | F.coalesce("unlabelled", F.lit(False)))).otherwise(copied)
+    evidence = F.when(~cut, None).when(by_copy, "longer_copy").when(F.col("mark"), "mark").when(~is_prompt, "count").when(F.col("start"), "start").otherwise("end").alias("evidence")
+    return suspect.select("record_table", "record_key", "source", copied.alias("longer_copy"), "mark", "start", "tokens_missing", evidence, cut.alias("cut")).dropDuplicates(["record_table", "record_key"])
 
 
 def cut_rates(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """(``record_table``, ``source``, ``records``, ``cut``, ``share``): how often each source's records are cut; a null source is a row of its own."""
-    cut = cut_records(prompts, responses).filter("cut").select("record_table", "record_key", F.lit(1).alias("c"))
+    """(``record_table``, ``source``, ``records``, ``cut``, ``by_copy``, ``by_mark``, ``by_count``, ``by_start``, ``by_end``, ``share``): how often each source's records are cut, and by what evidence; a null source is a row of its own."""
+    kinds = {"by_copy": "longer_copy", "by_mark": "mark", "by_count": "count", "by_start": "start", "by_end": "end"}
+    cut = cut_records(prompts, responses).filter("cut").select("record_table", "record_key", "evidence")
     keys = prompts.select(F.lit("prompt_response").alias("record_table"), F.col("example_id").alias("record_key"), "source").unionByName(responses.select(F.lit("generated_response").alias("record_table"), F.col("generation_id").alias("record_key"), "source"))
     once = keys.filter("record_key is not null").groupBy("record_table", "record_key").agg(F.min("source").alias("source"))
-    return once.join(cut, ["record_table", "record_key"], "left").groupBy("record_table", "source").agg(F.count(F.lit(1)).alias("records"), F.count("c").alias("cut")).withColumn("share", F.col("cut") / F.col("records"))
+    counts = [F.count_if(F.coalesce(F.col("evidence") == kind, F.lit(False))).alias(name) for name, kind in kinds.items()]
+    return once.join(cut, ["record_table", "record_key"], "left").groupBy("record_table", "source").agg(F.count(F.lit(1)).alias("records"), F.count("evidence").alias("cut"), *counts).withColumn("share", F.col("cut") / F.col("records"))

@@ -235,6 +235,8 @@ def test_cut_texts(spark):
     assert {x.record_key for x in out.filter("longer_copy").collect()} >= {"c1", "d1", "d2", "d3"}
     rates = {(x.record_table, x.source): (x.records, x.cut) for x in cut_text.cut_rates(prompts(spark, data), g).collect()}
     assert rates["prompt_response", "a"] == (60, 0) and rates["generated_response", "x"][1] == 3
+    assert {x.record_key: x.evidence for x in out.filter("cut").collect()} == {"c1": "longer_copy", "c2": "start", "c3": "mark", "c4": "mark", "c5": "end", "c6": "mark", "d1": "longer_copy", "d2": "longer_copy", "d3": "longer_copy"}
+    assert all(x.cut == x.by_copy + x.by_mark + x.by_count + x.by_start + x.by_end for x in cut_text.cut_rates(prompts(spark, data), g).collect())
     assert cut_text.cut_records(prompts(spark, []), g.limit(0)).count() == 0
 
 
