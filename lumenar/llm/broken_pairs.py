@@ -77,6 +77,11 @@ def copies_question(response: str, question: str) -> bool:
     return False
 
 
+def ending_likelihood(word: str, endings: dict[str, float]) -> float:
+    """How likely a text ends behind a word without statistics of its own: by the longest of its endings of up to five letters that has some."""
+    return next((endings[key] for n in range(5, 0, -1) if len(word) >= n and (key := "~" + word[-n:]) in endings), 1.0)
+
+
 def breaks_off(response: str, prompt_words: set[str], missing: float | None, endings: dict[str, float], whole: set[str]) -> bool:
     """``whole``: texts that are often an answer by themselves. ``missing``: tokens beyond the text by the count (-1: no end mark), None if unknown. ``endings``: share of a word's uses that a text ends behind."""
     text = response.rstrip()
@@ -91,7 +96,8 @@ def breaks_off(response: str, prompt_words: set[str], missing: float | None, end
         return False
     last = used[-1].lower()
     share = endings.get(last)
-    if share is not None and share < 0.01:
+    likely = share if share is not None else ending_likelihood(last, endings)
+    if share is not None and share < 0.01 or share is None and likely < 0.001 and last not in prompt_words:
         return True
     if len(used) >= 3 and last not in prompt_words and (share is None or share < 0.05) and any(w.startswith(last) for w in prompt_words):
         return True
@@ -137,19 +143,22 @@ def _judge(table, known: set[str], endings: dict[str, float], whole: set[str]):
 
 
 def ending_shares(responses: DataFrame, parts: int = 5000) -> tuple[dict[str, float], set[str]]:
-    """How often a text ends behind a word, and texts of up to four words that are often an answer by themselves.
+    """How often a text ends behind a word and behind each of a word's endings of one to five letters (``~`` before it), and texts of up to four words that are often an answer by themselves.
 
-    An end is a word before an end mark or the last one of a text that begins with a small letter (a short answer). Counted over all ``responses`` (``text``); only words and answers that make up more than one in ``parts`` of the texts are kept, so the results have at most mean length x ``parts`` entries.
+    An end is a word before an end mark or the last one of a text that begins with a small letter (a short answer). Counted over all ``responses`` (``text``) and all their words; words, endings
+    and answers that make up more than one in ``parts`` of the texts are kept, rarer words are judged by their endings, so the results have at most mean length x ``parts`` x 6 entries.
     """
     least = max(20, responses.count() // parts)
     used = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+[.?!]?)"), F.lit(1))
     short = F.col("text").rlike(r"^\s*\p{Ll}")
     placed = responses.select(F.posexplode(used).alias("i", "w"), F.size(used).alias("n"), short.alias("short"))
     ends = F.col("w").rlike(r"[.?!]$") | (F.col("short") & (F.col("i") == F.col("n") - 1))
-    each = placed.groupBy(F.lower(F.regexp_replace("w", r"[.?!]$", "")).alias("word")).agg(F.count(F.lit(1)).alias("uses"), F.avg(ends.cast("double")).alias("share")).filter(F.col("uses") >= least)
+    by_word = placed.groupBy(F.lower(F.regexp_replace("w", r"[.?!]$", "")).alias("word")).agg(F.count(F.lit(1)).alias("uses"), F.sum(ends.cast("long")).alias("ends"))
+    endings = F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.length("word"))), lambda n: F.concat(F.lit("~"), F.expr("word").substr(-n, n)))
+    each = by_word.select(F.explode(F.concat(F.array("word"), endings)).alias("word"), "uses", "ends").groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends")).filter(F.col("uses") >= least)
     plain = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     answers = responses.filter(F.size(plain) <= 4).groupBy(F.lower(F.array_join(plain, " ")).alias("answer")).count().filter(F.col("count") >= least)
-    return {r.word: r.share for r in each.collect()}, {r.answer for r in answers.collect()}
+    return {r.word: r.ends / r.uses for r in each.collect()}, {r.answer for r in answers.collect()}
 
 
 def frequent_vocabulary(texts: list[str], least: int = 5) -> set[str]:
