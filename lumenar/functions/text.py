@@ -70,10 +70,14 @@ def tokens(text: Column, ascii_only: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+)" if ascii_only else r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def semantic_form(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def _semantic_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+        yield texts.map(lambda t: None if t is None else semantic_form(t))
 
 
 def semantic_text(text: Column) -> Column:

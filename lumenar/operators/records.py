@@ -13,8 +13,8 @@ SPLIT_ORDER = ("train", "validation", "dev", "val", "test", "all")
 
 def first_delivery(df: DataFrame, key: str, order: tuple[str, ...] = ("ingested_at", "_pos")) -> DataFrame:
     """The earliest row of each key; rows of a null key are left out."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.filter(F.col(key).isNotNull()).withColumn("_place", place).filter("_place = 1").drop("_place")
+    least = F.min_by(F.struct(*df.columns), F.struct(*order))  # combined before the shuffle, so whole rows of repeats aren't sorted
+    return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(least.alias("_row")).select("_row.*")
 
 
 def canonical_examples(df: DataFrame) -> DataFrame:
@@ -76,12 +76,19 @@ def duplicate_ids(df: DataFrame, key: str = "example_id") -> DataFrame:
 def deterministic_split(examples: DataFrame, ratios: dict[str, float], seed: int = 2026, unit: str = "group") -> DataFrame:
     """``examples`` with ``split`` set (D1): whole units, in the order of a salted SHA-256, fill the splits with exact largest-remainder counts; input order plays no part.
 
-    Units are numbered without one global sort task: they are counted by the first two hexadecimal digits of their hash (256 buckets), and numbered within a bucket behind the buckets before
-    it. Only the number of units reaches the driver.
+    Units are numbered without one global sort task: they are counted by the first digits of their hash (as many as leave about 100,000 units to a bucket), and numbered within a bucket behind
+    the buckets before it. Only the number of units reaches the driver. Ids of more than one row raise.
     """
+    if repeated := [r["example_id"] for r in duplicate_ids(examples).collect()]:
+        raise ValueError(f"ids of more than one row: {', '.join(map(str, repeated))}")
     key = F.col("group_id" if unit == "group" else "example_id")
-    units = examples.select(key.alias("_unit")).distinct().withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "_unit"), 256)).withColumn("_b", F.substring("_h", 1, 2))
-    counts = allocation_counts(units.count(), ratios)
+    units = examples.select(key.alias("_unit")).distinct().withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "_unit"), 256))
+    total = units.count()
+    counts = allocation_counts(total, ratios)
+    digits = 1
+    while total > 100_000 * 16**digits:
+        digits += 1
+    units = units.withColumn("_b", F.substring("_h", 1, digits))
     sizes = units.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_unit")) + F.col("_before")
@@ -93,6 +100,32 @@ def deterministic_split(examples: DataFrame, ratios: dict[str, float], seed: int
     return examples.withColumn("_unit", key).join(assigned, "_unit", "left").drop("_unit", "split").withColumnRenamed("_split", "split")
 
 
+def expanded(rows: DataFrame, dataset: str) -> DataFrame:
+    """Rows of one table as examples (X7): those that are prompt and response already pass through, of the others a dataset's own shape is expanded (documents with summaries here; dialogues by ``expand_coqa`` and ``expand_quac``, whose columns differ)."""
+    ready = F.col("prompt").isNotNull() & F.col("response").isNotNull()
+    whole = canonical_examples(rows.filter(ready)).drop("cluster_id")
+    if dataset != "xsum":
+        return whole
+    others = expand_xsum(rows.filter(~ready))
+    return whole.unionByName(others.select(whole.columns))
+
+
+def split_examples(examples: DataFrame, ratios: dict[str, float], seed: int = 2026, unit: str = "group", official: bool = False) -> DataFrame:
+    """The recorded splits, or deterministic ones."""
+    return official_split(examples) if official else deterministic_split(examples, ratios, seed, unit)
+
+
+def prepare(examples: DataFrame, path: str, ratios: dict[str, float], seed: int = 2026, unit: str = "group", official: bool = False, again: bool = False) -> dict[str, int]:
+    """Splits examples and writes them, unless all three splits stand at ``path`` already (D3, S8); rows by split. A split without rows has an empty folder."""
+    from ..sources.records import prepared, write_splits
+
+    spark = examples.sparkSession
+    if again or not prepared(path):
+        write_splits(split_examples(examples, ratios, seed, unit, official), path)
+    counts = {r.split: r["count"] for r in spark.read.parquet(path).groupBy("split").count().collect()}
+    return {s: counts.get(s, 0) for s in ("train", "validation", "test")}
+
+
 def official_split(examples: DataFrame) -> DataFrame:
     """The recorded split by its aliases (U6); names that are none of the three raise."""
     return examples.withColumn("split", split_name(F.col("split"), allow_all=False))

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.numeric import best_reference, entropy, entropy_confidence, rouge_1, rouge_l, softmax, total
-from ..functions.text import semantic_text, tokens
+from ..functions.text import semantic_form, semantic_text, stripped, tokens
 
 #: Says of each pair (prompt, a, b) whether a and b mean the same.
 Scorer = Callable[[list[tuple[str, str, str]]], list[bool]]
@@ -104,12 +105,21 @@ def semantic_rows(samples: DataFrame, key: str = "example_id") -> DataFrame:
     return held.select(key, F.size("s").alias("samples"), F.size(F.array_distinct("ids")).alias("classes"), semantic_entropy(ids).alias("entropy"), semantic_entropy(ids, F.col("lp")).alias("weighted_entropy"), rao_entropy(ids, F.col("lp")).alias("rao_entropy"), semantic_confidence(ids).alias("confidence"))
 
 
+@F.pandas_udf(BooleanType())
+def _same_form(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for predictions, references in batches:
+        yield pd.Series([p is not None and r is not None and semantic_form(p) in {semantic_form(x) for x in r if x is not None} for p, r in zip(predictions, references, strict=True)], dtype=bool)
+
+
 def correct(prediction: Column, references: Column, mode: str = "semantic", threshold: float = 0.5) -> Column:
     """1 if a prediction agrees with any reference (K10, K11, J8): by equal semantic form, or by a ROUGE F1 of at least ``threshold``."""
     if mode == "semantic":
-        return F.exists(references, lambda r: F.regexp_replace(F.lower(F.trim(r)), r"\s+", " ") == F.regexp_replace(F.lower(F.trim(prediction)), r"\s+", " ")).cast("double")
+        plain = lambda t: F.regexp_replace(F.lower(stripped(t)), r"\s+", " ")
+        ascii_only = ~F.coalesce(F.concat(prediction, F.array_join(references, " ")), F.lit("")).rlike(r"[^\x00-\x7F]")
+        held = prediction.isNotNull() & references.isNotNull()
+        return F.when(~held, None).when(ascii_only, F.exists(references, lambda r: r.isNotNull() & (plain(r) == plain(prediction)))).otherwise(_same_form(prediction, references)).cast("double")
     score = {"rouge_1": rouge_1, "rouge_l": rouge_l}[mode]
-    best = best_reference(score, tokens(prediction), F.transform(references, tokens))
+    best = best_reference(score, tokens(prediction), F.transform(references, lambda r: tokens(r)))
     return (best >= threshold).cast("double")
 
 

@@ -222,7 +222,7 @@ def k17_features(spark, d):
 def k18_calibrated(spark, d):
     """The calibrator fitted on the even positions and applied to all rows whose features are complete."""
     rows = _judged(spark, d, *[c for c in ("routing_distance", "second_routing_distance", "sequence_log_probability", "generated_token_count", "router_entropy", "routing_distance_z", "normalized_first_token_entropy")]).filter("sequence_log_probability is not null")
-    model = K.fit_calibrator(rows, "outcome", FEATURES)
+    model = K.fit_calibrator(rows.filter("_pos % 2 = 0"), "outcome", FEATURES)
     return _rounded(rows.select("generation_id", model.confidence().alias("confidence"), "outcome"), "confidence", digits=4)
 
 

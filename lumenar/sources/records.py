@@ -44,8 +44,12 @@ def prompt_inputs(rows: DataFrame) -> DataFrame:
 
 
 def write_splits(examples: DataFrame, path: str) -> None:
-    """One folder per split (S10), through Spark's commit protocol."""
+    """One folder per split (S10), through Spark's commit protocol; a split without rows gets an empty one."""
     examples.write.mode("overwrite").partitionBy("split").parquet(path)
+    jvm, conf = examples.sparkSession._jvm, examples.sparkSession._jsc.hadoopConfiguration()
+    for name in ("train", "validation", "test"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/split={name}")
+        at.getFileSystem(conf).mkdirs(at)
 
 
 def prepared(path: str) -> bool:

@@ -224,7 +224,7 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_configuration(tmp_path):
-    held = config.load(pairs=["data.split_seed=7", "clustering.method=random_balanced"])
+    held = config.load(pairs=["data.split_seed=7", "clustering.strategy=random_balanced", "clustering.num_clusters=4"])
     assert held["data"]["split_seed"] == 7 and config.training_fingerprint(held) != config.training_fingerprint(config.load())
     assert config.training_fingerprint(config.load(pairs=["generation.top_k=5"])) == config.training_fingerprint(config.load())
     for wrong in ("data.price=1", "data.train_ratio=0.9", "clustering.method=x", "evaluation.bins=0", "evaluation.abstain_threshold=2"):
