@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -9,10 +10,10 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPLIT_ALIASES
+
 #: Maximal runs of letters or digits are words.
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Split names read as the three splits.
-SPLIT_NAMES = {"train": "train", "training": "train", "validation": "validation", "valid": "validation", "val": "validation", "dev": "validation", "test": "test", "testing": "test"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named in ``spark.checkpoint.dir``; one is made only where a session (a test's) names none."""
+    """The folder all executors share, named in ``spark.checkpoint.dir``; one is made only where a session on one machine (a test's) names none."""
     if (given := spark.conf.get("spark.checkpoint.dir", None)) is not None:
         return given
     if (used := spark.sparkContext.getCheckpointDir()) is not None:
         return used
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lumenar-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -57,7 +60,7 @@ _written: dict[int, str] = {}
 
 def read_split(split: Column) -> Column:
     """train, validation or test by the aliases, ignoring case and outer blanks; null for any other name."""
-    names = F.create_map(*[F.lit(x) for pair in SPLIT_NAMES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in SPLIT_ALIASES.items() for x in pair])
     return F.try_element_at(names, F.lower(F.regexp_replace(split, r"(?U)^\s+|\s+$", "")))
 
 

@@ -95,5 +95,17 @@ def queries() -> dict:
     return {f.__name__: f for f in all_of}
 
 
+_SPLIT = "CASE lower(regexp_replace(split, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'validation' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'test' THEN 'test' WHEN 'testing' THEN 'test' END"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """p4 by plain grouping, p5 by counting the common words of all pairs of texts. The others are iterative, learnt or packed, and are tested against brute force or invariants."""
+    return {
+        "p4_found": f"""WITH named AS (SELECT regexp_replace(regexp_replace(lower(group_id), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g') AS name, {_SPLIT} AS part FROM prompt_response WHERE group_id IS NOT NULL)
+SELECT name AS group_id FROM named WHERE name <> '' GROUP BY name HAVING count(DISTINCT part) > 1""",
+        "p5_found": """WITH texts AS (SELECT id, min(concat_ws(' ', document, summary)) AS text FROM toy_xsum WHERE id IS NOT NULL AND regexp_replace(document, '[\\s\\x{00A0}]+', '', 'g') <> '' GROUP BY id),
+words AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS word FROM texts),
+sizes AS (SELECT id, count(*) AS n FROM words GROUP BY id),
+pairs AS (SELECT a.id AS id_1, b.id AS id_2, count(*) AS shared FROM words a JOIN words b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2)
+SELECT id_1, id_2 FROM pairs JOIN sizes x ON x.id = id_1 JOIN sizes y ON y.id = id_2 WHERE shared >= 0.7 * (x.n + y.n - shared) - 1e-9""",
+    }

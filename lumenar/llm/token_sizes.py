@@ -16,29 +16,37 @@ _PLAIN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
 def _counter(path: str | None):
-    """Counts of a batch of texts: by the tokenizer of ``path``, or else by runs of letters or digits and other characters."""
-    try:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-    except Exception:  # noqa: BLE001 - the library raises plain exceptions for files it can't read
+    """Counts of a batch of texts: by the tokenizer of ``path``, or without one by runs of letters or digits and other characters. A file that can't be read raises."""
+    if path is None:
         return lambda texts: [len(_PLAIN.findall(t)) for t in texts]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
     return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def usable_path(path: str | None) -> str | None:
+    """``path`` if there is such a file and the library to read it, else None."""
+    if not path or not os.path.exists(path):
+        return None
+    try:
+        import tokenizers  # noqa: F401
+    except ImportError:
+        return None
+    return path
+
+
 def with_tokens(documents: DataFrame, path: str | None = TOKENIZER) -> DataFrame:
     """(``doc_id``, ``source``, ``tokens``) of each document; 0 for a null or empty text. Repeated rows of a ``doc_id`` count once, null ids are left out.
 
-    Whether ``path`` can be read is settled once, on the driver, so that all executors count alike; an executor that then lacks the file fails rather than counting another way.
+    Whether ``path`` can be read is settled once, on the driver, so that all executors count alike; an executor that then lacks the file or the library fails rather than counting another way.
     """
-    use = path if path and os.path.exists(path) else None
+    use = usable_path(path)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if use and not os.path.exists(use):
-            raise FileNotFoundError(use)
         counts = _counter(use)
         for texts in batches:
             plain = [t or "" for t in texts]

@@ -425,3 +425,15 @@ def test_a_table_replaces_the_one_before(spark):
 def test_queries_are_named_by_problem():
     names = queries.queries()
     assert all(re.match(r"p[1-9]_", n) for n in names) and {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 9)} <= set(names) and set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("prompt_response", "toy_xsum"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    want = {tuple(r) for r in db.execute(queries.oracle_sql()[name]).fetchall()}
+    assert want and rows(queries.queries()[name](spark, folder)) == want
