@@ -60,7 +60,7 @@ _JUDGED = f"""judged AS (SELECT gen.*, CASE WHEN len(list_filter(ex."references"
   FROM gen JOIN ex USING (example_id) WHERE gen.response IS NOT NULL AND ex."references" IS NOT NULL)"""
 _FACTS = f"WITH {_EX}, {_GEN}, {_JUDGED}, facts AS (SELECT *, calibrated_confidence AS confidence FROM judged WHERE calibrated_confidence IS NOT NULL)"
 _VEC = f"vec AS (SELECT example_id, any_value(v) AS v FROM prompt_vector WHERE example_id IS NOT NULL AND len(v) = {DIM} AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY 1)"
-_DIST = f"{_VEC}, dist AS (SELECT example_id, cluster_id, list_distance(v::DOUBLE[], centroid::DOUBLE[]) AS d FROM vec CROSS JOIN cluster_centroids)"
+_DIST = f"{_VEC}, dist AS MATERIALIZED (SELECT example_id, cluster_id, list_distance(v::DOUBLE[], centroid::DOUBLE[]) AS d FROM vec CROSS JOIN cluster_centroids)"
 _ROUTED = f"""{_DIST}, soft AS (SELECT *, exp(-d / avg(d) OVER (PARTITION BY example_id)) AS e, row_number() OVER (PARTITION BY example_id ORDER BY d, cluster_id) AS r FROM dist),
 prob AS (SELECT *, e / sum(e) OVER (PARTITION BY example_id) AS p FROM soft),
 routed AS (SELECT example_id, max(CASE WHEN r = 1 THEN cluster_id END) AS expert, max(CASE WHEN r = 1 THEN d END) AS distance, max(CASE WHEN r = 2 THEN d END) AS second_distance, max(CASE WHEN r = 2 THEN d END) - max(CASE WHEN r = 1 THEN d END) AS margin,
