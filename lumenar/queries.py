@@ -10,6 +10,7 @@ from .functions import text as X
 from .operators import calibrator as K
 from .operators import clustering as C
 from .operators import evaluation as E
+from .operators import evaluator as V
 from .operators import records as R
 from .operators import routing as G
 from .operators import semantic as S
@@ -67,6 +68,7 @@ routed AS (SELECT example_id, max(CASE WHEN r = 1 THEN cluster_id END) AS expert
  -sum(p * ln(p)) / ln(count(*)) AS router_entropy, max(p) AS router_max_probability FROM prob GROUP BY 1)"""
 _SPLIT = "CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'validation' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'test' THEN 'test' WHEN 'testing' THEN 'test' WHEN 'all' THEN 'all' WHEN 'unspecified' THEN 'all' WHEN '' THEN 'all' ELSE CASE WHEN split IS NULL THEN 'all' END END"
 _STRIP = r"regexp_replace({0}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
+_WHOLE_FORM = r"regexp_replace(regexp_replace(lower({0}), '[\s\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')"
 _R6 = "round({0}, 6) AS {1}"
 
 
@@ -231,6 +233,16 @@ def k20_confidences(spark, d):
     return _rounded(rows.select("generation_id", *[E.confidence_of(s).alias(s) for s in ("single_pass", "first_token_entropy", "sequence_probability")]), "single_pass", "first_token_entropy", "sequence_probability")
 
 
+def k23_evaluation(spark, d):
+    """All generations of an example are its samples, the first is the prediction."""
+    refs = _examples(spark, d, "references").filter(F.size("references") > 0).select("example_id", "references")
+    rows = _generations(spark, d, "example_id", "response").filter("response is not null and example_id is not null")
+    sampled = rows.groupBy("example_id").agg(F.min("_pos").alias("_pos"), F.transform(F.array_sort(F.collect_list(F.struct("_pos", "response"))), lambda s: s["response"]).alias("samples"))
+    out = V.evaluation_metrics(V.evaluated(sampled.join(refs, "example_id"), "frequency", "maximum_class_probability"))
+    names = ["brier", "semantic_correctness_rate", "mean_confidence", "mean_semantic_entropy", "auroc"]
+    return _rounded(out.select("num_examples", *names), *names)
+
+
 def k24_out_of_distribution(spark, d):
     rows = _generations(spark, d, "source", "non_special_first_token_confidence", "routing_distance", "routing_margin").select("source", "_pos", F.col("non_special_first_token_confidence").alias("confidence"), F.col("routing_distance").alias("distance"), F.col("routing_margin").alias("margin"))
     out = E.out_of_distribution(rows.filter("source like 'coqa%'"), rows.filter("source like 'xsum%'"))
@@ -301,7 +313,7 @@ def stream_drift(spark, d):
 
 def queries() -> dict:
     """By name: the survey's tag of the operator, then what it gives."""
-    all_of = (calibration_report, a1_scalar_metrics, a3_reliability_bins, a4_adaptive_bins, a6_auroc, a8_seed_summary, a10_cluster_counts, a11_distance_statistics, a12_cluster_means, a16_semantic_entropy, a18_entropy_by_position, a21_min_max, a22_token_totals, a23_split_manifest, c3_routing, c7_fitted_clusters, c9_silhouette, c10_balanced_partition, c12_wrong_route, c13_distance_z, d1_split, f3_selective, f5_duplicate_ids, j1_assignments, j3_id_differences, j4_inconsistent, k1_categorical_entropy, k12_rouge_1, k13_rouge_l, k17_features, k18_calibrated, k20_confidences, k24_out_of_distribution, w2_spearman, w3_risk_coverage, w4_thinned_curve, w5_false_positives, w6_history, x1_canonical, x6_summaries, x7_fallback_ids, x8_limited, v2_fingerprints, t5_sequence_nll, stream_drift)
+    all_of = (calibration_report, a1_scalar_metrics, a3_reliability_bins, a4_adaptive_bins, a6_auroc, a8_seed_summary, a10_cluster_counts, a11_distance_statistics, a12_cluster_means, a16_semantic_entropy, a18_entropy_by_position, a21_min_max, a22_token_totals, a23_split_manifest, c3_routing, c7_fitted_clusters, c9_silhouette, c10_balanced_partition, c12_wrong_route, c13_distance_z, d1_split, f3_selective, f5_duplicate_ids, j1_assignments, j3_id_differences, j4_inconsistent, k1_categorical_entropy, k12_rouge_1, k13_rouge_l, k17_features, k18_calibrated, k20_confidences, k23_evaluation, k24_out_of_distribution, w2_spearman, w3_risk_coverage, w4_thinned_curve, w5_false_positives, w6_history, x1_canonical, x6_summaries, x7_fallback_ids, x8_limited, v2_fingerprints, t5_sequence_nll, stream_drift)
     return {f.__name__: f for f in all_of}
 
 
@@ -349,6 +361,12 @@ t AS (SELECT example_id, count(*) AS n, bool_and(lp IS NOT NULL) AS all_lp, max(
 w AS (SELECT s.example_id, form, count(*) / any_value(n) AS p, CASE WHEN any_value(all_lp) THEN sum(exp(lp - top)) END AS e, CASE WHEN any_value(all_lp) THEN ln(sum(exp(lp - top))) + any_value(top) END AS l FROM s JOIN t USING (example_id) GROUP BY 1, 2),
 x AS (SELECT *, e / sum(e) OVER (PARTITION BY example_id) AS q FROM w)
 SELECT example_id, any_value(n)::INTEGER AS samples, count(*)::INTEGER AS classes, round(-sum(p * ln(p)) + 0.0, 6) AS entropy, round(-sum(CASE WHEN q > 0 THEN q * ln(q) WHEN q = 0 THEN 0 END) + 0.0, 6) AS weighted_entropy, round(-avg(l), 6) AS rao_entropy, round(max(p), 6) AS confidence FROM x JOIN t USING (example_id) GROUP BY 1""",
+        "k23_evaluation": f"""WITH {_EX}, {_GEN}, s AS (SELECT example_id, gen._pos, {_WHOLE_FORM.format('gen.response')} AS form, ex."references" AS refs FROM gen JOIN ex USING (example_id) WHERE gen.response IS NOT NULL AND len(ex."references") > 0),
+f AS (SELECT example_id, count(*) AS n, min_by(form, _pos) AS said, any_value(refs) AS refs FROM s GROUP BY 1), c AS (SELECT example_id, form, count(*) AS k FROM s GROUP BY 1, 2),
+e AS (SELECT example_id, -sum(k / n * ln(k / n)) AS h, max(k / n) AS confidence FROM c JOIN f USING (example_id) GROUP BY 1),
+facts AS (SELECT h, confidence, CASE WHEN len(list_filter(refs, lambda r: {_WHOLE_FORM.format('r')} = said)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome FROM e JOIN f USING (example_id)),
+ranked AS (SELECT *, {_RANK.format('confidence')} AS r FROM facts)
+SELECT count(*) AS num_examples, round(avg((confidence - outcome) * (confidence - outcome)), 6) AS brier, round(avg(outcome), 6) AS semantic_correctness_rate, round(avg(confidence), 6) AS mean_confidence, round(avg(h), 6) AS mean_semantic_entropy, round({_AUROC.format(y='outcome')}, 6) AS auroc FROM ranked""",
         "a18_entropy_by_position": f"""WITH {_GEN}, s AS (SELECT row_number() OVER (PARTITION BY example_id ORDER BY _pos) - 1 AS position, first_token_entropy AS h FROM gen WHERE example_id IS NOT NULL)
 SELECT position::INTEGER AS position, round(avg(CASE WHEN isfinite(h) THEN h END), 6) AS mean, count(CASE WHEN isfinite(h) THEN 1 END) AS count FROM s GROUP BY 1""",
         "a21_min_max": f"WITH {_GEN} SELECT generation_id, round(routing_distance, 6) AS routing_distance, round((routing_distance - min(routing_distance) OVER ()) / (max(routing_distance) OVER () - min(routing_distance) OVER ()), 6) AS scaled FROM gen",
