@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import best_reference, entropy_confidence, rouge_1, rouge_l, total
+from ..functions.numeric import best_reference, best_rouge_l, entropy_confidence, rouge_1, total
 from ..functions.text import semantic_text, tokens
 from .evaluation import auroc, checked, scalar_metrics
 from .semantic import Scorer, class_ids, class_probabilities, correct, rao_entropy, scored_class_ids, semantic_entropy
@@ -143,8 +143,8 @@ def evaluated(records: DataFrame, estimator: str = "kuhn_eq4", mapping: str = "e
     classes = F.size(F.array_distinct(ids))
     rows = rows.withColumn("semantic_entropy", h).withColumn("num_semantic_classes", classes)
     sure = F.array_max(class_probabilities(ids, weights)) if kind == "max" else entropy_confidence(F.greatest(F.col("semantic_entropy"), F.lit(0.0)), classes, kind)
-    rouge = lambda score: best_reference(score, tokens(F.col("prediction")), F.transform("references", lambda r: tokens(r)))
-    return rows.select("_pos", "example_id", "prediction", "references", correct(F.col("prediction"), F.col("references"), mode, threshold).alias("correctness"), "semantic_entropy", F.lit(name).alias("semantic_estimator"), sure.alias("confidence"), "semantic_class_ids", "num_semantic_classes", rouge(rouge_l).alias("rouge_l_f1"), rouge(rouge_1).alias("rouge_1_f1"), *kept)
+    said, held = tokens(F.col("prediction")), F.transform("references", lambda r: tokens(r))
+    return rows.select("_pos", "example_id", "prediction", "references", correct(F.col("prediction"), F.col("references"), mode, threshold).alias("correctness"), "semantic_entropy", F.lit(name).alias("semantic_estimator"), sure.alias("confidence"), "semantic_class_ids", "num_semantic_classes", best_rouge_l(said, held).alias("rouge_l_f1"), best_reference(rouge_1, said, held).alias("rouge_1_f1"), *kept)
 
 
 def evaluation_metrics(examples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.numeric import best_reference, entropy, entropy_confidence, rouge_1, rouge_l, softmax, total
+from ..functions.numeric import best_reference, best_rouge_l, entropy, entropy_confidence, rouge_1, softmax, total
 from ..functions.text import semantic_form, semantic_text, stripped, tokens
 
 #: Says of each pair (prompt, a, b) whether a and b mean the same.
@@ -118,8 +118,8 @@ def correct(prediction: Column, references: Column, mode: str = "semantic", thre
         ascii_only = ~F.coalesce(F.concat(prediction, F.array_join(references, " ")), F.lit("")).rlike(r"[^\x00-\x7F]")
         held = prediction.isNotNull() & references.isNotNull()
         return F.when(~held, None).when(ascii_only, F.exists(references, lambda r: r.isNotNull() & (plain(r) == plain(prediction)))).otherwise(_same_form(prediction, references)).cast("double")
-    score = {"rouge_1": rouge_1, "rouge_l": rouge_l}[mode]
-    best = best_reference(score, tokens(prediction), F.transform(references, lambda r: tokens(r)))
+    said, held = tokens(prediction), F.transform(references, lambda r: tokens(r))
+    best = {"rouge_1": lambda: best_reference(rouge_1, said, held), "rouge_l": lambda: best_rouge_l(said, held)}[mode]()
     return (best >= threshold).cast("double")
 
 

@@ -212,7 +212,7 @@ def k12_rouge_1(spark, d):
 def k13_rouge_l(spark, d):
     refs = _examples(spark, d, "references").filter(F.size("references") > 0).select("example_id", "references")
     rows = _generations(spark, d, "example_id", "response").join(refs, "example_id")
-    score = N.best_reference(N.rouge_l, X.tokens(F.col("response")), F.transform("references", lambda r: X.tokens(r)))
+    score = N.best_rouge_l(X.tokens(F.col("response")), F.transform("references", lambda r: X.tokens(r)))
     return _rounded(rows.select("generation_id", score.alias("rouge_l")), "rouge_l")
 
 

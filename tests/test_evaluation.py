@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenar.__main__ import main
-from lumenar.functions import losses
+from lumenar.functions import losses, numeric
+from lumenar.functions.text import tokens
 from lumenar.operators import evaluator, records, sampling, semantic
 from lumenar.plans import ablations, config
 from lumenar.sources import manifests
@@ -143,3 +144,13 @@ def test_command_line(spark, tmp_path, capsys):
         (tmp_path / f"runs/r_s{seed}/evaluation").mkdir(parents=True)
         (tmp_path / f"runs/r_s{seed}/evaluation/test_metrics.json").write_text(json.dumps({"brier": seed / 10}))
     assert main(["aggregate", "--root", str(tmp_path / "runs"), "--out", str(tmp_path / "report")]) == 0 and (tmp_path / "report.tex").exists()
+
+
+def test_the_best_subsequence(spark):
+    texts = [("the cat sat on the mat", ["the cat lay on the mat", "a dog"]), ("", ["a"]), ("a", [""]), ("b a b a", ["a b a b", "b b"]), (None, ["a"])]
+    df = spark.createDataFrame(texts, "a string, b array<string>").select(tokens(F.col("a")).alias("a"), F.transform("b", lambda r: tokens(r)).alias("b"))
+    for r in df.select(numeric.best_rouge_l(F.col("a"), F.col("b")).alias("x"), numeric.best_reference(numeric.rouge_l, F.col("a"), F.col("b")).alias("y")).collect():
+        assert r.x == pytest.approx(r.y)
+    assert df.select(numeric.best_rouge_l(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(5 / 6)
+    with pytest.raises(Exception, match="no references"):
+        df.select(numeric.best_rouge_l(F.col("a"), F.array().cast("array<array<string>>"))).collect()
