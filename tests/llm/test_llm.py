@@ -416,6 +416,19 @@ def test_token_sizes(spark):
     assert with_tokens(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("query", [queries.p7_packed, queries.p7_report])
+def test_a_missing_tokenizer_is_no_result(spark, tmp_path, monkeypatch, query):
+    df = spark.createDataFrame([(1, "Who sold it, then?", "a")], "doc_id long, text string, source string")
+    broken = tmp_path / "broken.json"
+    broken.write_text("{")
+    with pytest.raises(Exception, match="(?i)EOF|parsing|expected"):
+        with_tokens(df, str(broken))
+    monkeypatch.setattr(queries, "with_tokens", lambda documents: with_tokens(documents, str(tmp_path / "none.json")))
+    with pytest.raises(FileNotFoundError, match="none.json"):
+        query(spark, "/root/testdata/sf0.001")
+    assert with_tokens(df, "").first().tokens == 6
+
+
 def test_a_table_replaces_the_one_before(spark):
     first = cut_lineage(spark.range(5).toDF("n"))
     second = cut_lineage(first.selectExpr("n + 1 as n"), instead_of=first)
