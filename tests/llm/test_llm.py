@@ -416,7 +416,7 @@ def test_token_sizes(spark):
     assert with_tokens(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("query", [queries.p7_packed, queries.p7_report])
+@pytest.mark.parametrize("query", [queries.p7_packed, queries.p7_report, queries.p8_mixed, queries.p8_shares])
 def test_a_missing_tokenizer_is_no_result(spark, tmp_path, monkeypatch, query):
     df = spark.createDataFrame([(1, "Who sold it, then?", "a")], "doc_id long, text string, source string")
     broken = tmp_path / "broken.json"
