@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from .components import connected_components
 
 #: Landmarks of the first pass, and by how much each further pass multiplies them while the mean squared distance falls below ``GAIN`` of what it was.
 FIRST, GROWTH, GAIN = 64, 4, 0.6
-#: Vectors that a landmark stands for on the average, at least; vectors drawn at once from those that lie apart, and how many of them must lie together to get a landmark.
+#: Vectors that a landmark stands for on the average, at least; pivots and vectors compared at once among those that lie apart, and how many of them must lie together to get a landmark.
 SHARE, DRAWN, TOGETHER = 8, 256, 3
 #: More landmarks than this (12 MB of numbers) are refused rather than left out.
 MOST = 65_536
@@ -79,8 +80,8 @@ def _drawn(vectors: DataFrame, landmarks, n: int, seed: int) -> tuple[float, np.
     return seen.get["far"] / seen.get["n"], np.array([r.v for r in some])
 
 
-def _means(vectors: DataFrame, landmarks: np.ndarray, least: int = 1) -> np.ndarray:
-    """The landmarks moved to the means of the vectors nearest to them, those of fewer than ``least`` left out. Sums are made per task, so at most tasks x landmarks rows are shuffled."""
+def _means(vectors: DataFrame, landmarks: np.ndarray, least: int = 1, within: float = np.inf) -> np.ndarray:
+    """The landmarks moved to the means of the vectors nearest to them (and no farther than ``within``), those of fewer than ``least`` left out. Sums are made per task, so at most tasks x landmarks rows are shuffled."""
     k, dim = landmarks.shape
     sent = vectors.sparkSession.sparkContext.broadcast(landmarks)
 
@@ -88,6 +89,11 @@ def _means(vectors: DataFrame, landmarks: np.ndarray, least: int = 1) -> np.ndar
         total, count = np.zeros((k, dim)), np.zeros(k)
         for _, x in _blocks(batches):
             at = ((sent.value**2).sum(1) - 2 * x @ sent.value.T).argmin(1)
+            if within < np.inf:
+                near = ((x - sent.value[at]) ** 2).sum(1) <= within**2
+                x, at = x[near], at[near]
+                if not len(x):
+                    continue
             order = np.argsort(at, kind="stable")
             own, begin = np.unique(at[order], return_index=True)
             total[own] += np.add.reduceat(x[order], begin, axis=0)
@@ -116,33 +122,68 @@ def _placed(vectors: DataFrame, landmarks: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(place, "key string, v array<double>, landmark int, distance double, second int, between double")
 
 
-def _apart(placed: DataFrame) -> tuple[float, DataFrame]:
-    """How far a vector lies from its landmark at most unless it lies apart (median and eight median deviations over all vectors), and those that do."""
+def _limit(placed: DataFrame) -> float:
+    """How far a vector lies from its landmark at most unless it lies apart: median and eight median deviations over all vectors."""
     half = placed.agg(F.percentile_approx("distance", 0.5, 1000)).first()[0] or 0.0
     spread = placed.agg(F.percentile_approx(F.abs(F.col("distance") - half), 0.5, 1000)).first()[0] or 0.0
-    limit = half + 8 * spread + 1e-9
-    return limit, placed.filter(F.col("distance") > limit)
+    return half + 8 * spread + 1e-9
 
 
-def _more_landmarks(apart: DataFrame, limit: float, seed: int) -> np.ndarray:
-    """Of ``DRAWN`` vectors of those that lie apart the ones with ``TOGETHER`` or more within ``limit``, no two of them within it."""
-    some = _lowest(apart, DRAWN, seed)
-    if not len(some):
-        return some
-    sent = apart.sparkSession.sparkContext.broadcast(some)
+def _dense(x: np.ndarray, own: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the vectors ``own`` some with ``TOGETHER`` or more of ``x`` within ``limit``, no two of them within it but every other such one of ``own`` within it of one, and how many lie there."""
+    norm, open_, kept, counts = (x**2).sum(1), own.copy(), [], []
+    while len(some := np.flatnonzero(open_)[:DRAWN]):
+        near = norm[some][:, None] - 2 * x[some] @ x.T + norm <= limit**2 * (1 + 1e-9)
+        open_[some] = False
+        n, left = near.sum(1), np.ones(len(some), bool)
+        for i in np.argsort(-n, kind="stable"):
+            if n[i] >= TOGETHER and left[i]:
+                kept.append(some[i])
+                counts.append(n[i])
+                open_[near[i]] = False
+                left &= ~near[i][some]
+    return np.array(kept, np.int64), np.array(counts, np.int64)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(sent.value), np.int64)
-        for _, x in _blocks(batches):
-            count += (((x**2).sum(1)[:, None] - 2 * x @ sent.value.T + (sent.value**2).sum(1)) <= limit**2 * (1 + 1e-9)).sum(0)
-        yield pa.record_batch([pa.array(np.arange(len(count), dtype=np.int32)), pa.array(count)], names=["i", "n"])
 
-    counts = {r.i: r.n for r in apart.select("v").mapInArrow(near, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    kept: list[int] = []
-    for i in sorted(range(len(some)), key=lambda i: (-counts[i], i)):
-        if counts[i] >= TOGETHER and all(((some[i] - some[j]) ** 2).sum() > limit**2 for j in kept):
+def _more_landmarks(apart: DataFrame, limit: float, seed: int) -> np.ndarray:
+    """Vectors that lie apart with ``TOGETHER`` or more of them within ``limit``, no two of them within it; every other such vector is within twice ``limit`` of one.
+
+    All are compared: each vector goes to the cell of its nearest pivot and, as a neighbour, to any whose border it is within ``limit`` of, so no pair within ``limit`` is missed. The drawn
+    pivots only divide the work.
+    """
+    pivots = _lowest(apart, DRAWN, seed)
+    if not len(pivots):
+        return pivots
+    sent = apart.sparkSession.sparkContext.broadcast(pivots)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        between = np.sqrt(((p[:, None] - p) ** 2).sum(2))
+        for b, x in _blocks(batches):
+            d = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)
+            first = d.argmin(1)
+            slack = d - d[np.arange(len(x)), first][:, None]
+            row, cell = np.nonzero(slack <= 2 * limit * between[first] * (1 + 1e-9) + 1e-9 * (1 + np.abs(d)))
+            yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(first[row] == cell), b.column("key").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["cell", "own", "key", "v"])
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", ignore_index=True)
+        at, n = _dense(np.vstack(rows["v"].to_numpy()).astype(np.float64), rows["own"].to_numpy(bool), limit)
+        return rows.iloc[at][["key", "v"]].assign(n=n)
+
+    cells = apart.select("key", "v").mapInArrow(spread, "cell int, own boolean, key string, v array<double>")
+    some = cells.groupBy("cell").applyInPandas(found, "key string, v array<double>, n bigint").limit(MOST + 1).toPandas().sort_values(["n", "key"], ascending=[False, True])
+    if len(some) > MOST:
+        raise RuntimeError(f"more than {MOST} landmarks")
+    if some.empty:
+        return np.zeros((0, pivots.shape[1]))
+    x, kept = np.vstack(some["v"].to_numpy()).astype(np.float64), []
+    left = np.ones(len(x), bool)
+    for i in range(len(x)):
+        if left[i]:
             kept.append(i)
-    return some[kept]
+            left &= ((x - x[i]) ** 2).sum(1) > limit**2
+    return x[kept]
 
 
 def _with_landmarks(vectors: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray] | None:
@@ -162,16 +203,17 @@ def _with_landmarks(vectors: DataFrame, seed: int) -> tuple[DataFrame, np.ndarra
             break
         fewer, at, before = at, np.vstack([at, drawn]), mean
     at = np.unique(_means(vectors, _means(vectors, at), SHARE // 2), axis=0)
-    placed = cut_lineage(_placed(vectors, at))
+    placed, limit = cut_lineage(_placed(vectors, at)), float("inf")
+    # ends: each further landmark takes limit**2 or more from the sum of squared distances, each counted as limit**2 at most, and neither a smaller limit nor the means of those within it add to that sum
     while True:
-        limit, apart = _apart(placed)
-        more = _more_landmarks(apart, limit, seed + len(at))
+        limit = min(limit, _limit(placed))
+        more = _more_landmarks(placed.filter(F.col("distance") > limit), limit, seed + len(at))
         if not len(more):
             return placed, at
         at = np.vstack([at, more])
         if len(at) > MOST:
             raise RuntimeError(f"more than {MOST} landmarks")
-        at = np.unique(_means(vectors, at), axis=0)
+        at = np.unique(_means(vectors, at, within=limit), axis=0)
         placed = cut_lineage(_placed(vectors, at), instead_of=placed)
 
 

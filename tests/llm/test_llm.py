@@ -365,6 +365,24 @@ def test_clusters_of_any_number_and_size(spark, sizes):
     assert abs(clusters.count() - len(sizes)) <= 0.03 * len(sizes)
 
 
+@pytest.mark.parametrize("wide", [30, 4])
+def test_no_group_of_strays_is_missed(spark, wide):
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, wide, (3000, 24))
+    groups = [np.arange(n, n + 3 + n % 5) for n in range(0, 400, 10)]
+    for g in groups:
+        x[g] = x[g[0]] + rng.normal(0, 0.3, (len(g), 24))
+    limit = 4.0
+    gap = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
+    dense = (gap <= limit).sum(1) >= markov_clusters.TOGETHER
+    df = spark.createDataFrame([(f"x{n}", v) for n, v in enumerate(x.tolist())], "key string, v array<double>")
+    found = markov_clusters._more_landmarks(df, limit, 17)
+    far = np.sqrt(((x[:, None] - found) ** 2).sum(2))
+    assert dense.sum() >= sum(map(len, groups)) and len(found) >= len(groups)
+    assert (far[dense].min(1) <= 2 * limit).all() and dense[far.argmin(0)].all()
+    assert all(np.sqrt(((a - b) ** 2).sum()) > limit for a, b in combinations(found, 2))
+
+
 def test_flow_rests_on_attractors(spark):
     rings = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(base, base + 5)] + [(4, 10, 0.01), (10, 4, 0.01)]
     flow = markov_clusters.markov_flow(spark.createDataFrame(rings, "i int, j int, w double"))
