@@ -186,6 +186,27 @@ def test_fitted_clusters_try_the_whole_range(spark, monkeypatch):
     assert C.candidate_counts(1000, most=given["most"], fixed=given["fixed"]) == list(range(2, 11)) and given["starts"] == 10
 
 
+def test_fitted_clusters_share_their_passes(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal([8 * (n % 4), 8 * (n // 4)], 0.6, (60, 2)) for n in range(7)] + [[[1.0, 1.0]] * 20])
+    df = spark.createDataFrame([(f"k{n}", v) for n, v in enumerate(x.tolist())], "example_id string, v array<double>").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fit", "fit")
+    assigned, found, scores = C.fit_clusters(df)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("fit")) < 300  # nine numbers of ten seedings each: above a thousand if each is fitted for itself
+    assert sorted(scores) == list(range(2, 11)) and max(scores, key=scores.get) == 7 == len(found)
+    got = {r.example_id: (r.v, r.cluster) for r in assigned.collect()}
+    centers = np.array([found[i] for i in range(7)])
+    near = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+    assert [got[f"k{n}"] for n in range(len(x))] == [(v, c) for v, c in zip(x.tolist(), near.tolist())]
+    assert all(np.allclose(x[near == i].mean(0), centers[i], atol=2e-4) for i in range(7))
+    held = spark.createDataFrame([(k, v, c) for k, (v, c) in got.items()], "example_id string, v array<double>, cluster int")
+    assert abs(scores[7] - C.silhouettes(held).agg(F.avg("silhouette")).first()[0]) < 1e-9
+    few = spark.createDataFrame([(str(n), [float(n % 2), 0.0]) for n in range(9)], "example_id string, v array<float>")
+    assert C.fit_clusters(few)[0].select("cluster").distinct().count() == 2 and len(C.fit_clusters(few, fixed=1)[1]) == 1
+
+
 def test_routing_and_clusters(spark, tmp_path):
     vectors = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 0.0]), ("tie", [1.0, 0.0])], "example_id string, v array<float>")
     centroids = spark.createDataFrame([(1, [2.0, 0.0]), (0, [0.0, 0.0])], "cluster_id int, centroid array<float>")
