@@ -190,6 +190,13 @@ def test_split_overlap_against_brute_force(spark):
     assert split_overlap.found_pairs(prompts(spark, [])).count() == 0
 
 
+def test_copies_that_ask_by_a_line_of_their_own(spark):
+    text = "The miller sold a clay jug near the quay of Balcor before the harvest"
+    data = [("t1", f"{text}\nname the seller", "train"), ("t2", f"{text} name the seller", "train"), ("e1", f"{text}\nname the seller", "test")]
+    df = spark.createDataFrame(data, "example_id string, prompt string, split string")
+    assert rows(split_overlap.found_pairs(df)) == {("e1", "t1")}  # t2 has the same words, but no line that asks
+
+
 def test_split_overlap_in_a_hot_passage(spark):
     """Copies whose shared words are all frequent, edited in every sentence by words of their own."""
     r = random.Random(24)
