@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary file lies; every executor must see the same path. An empty name says that no tokenizer is at hand.
+#: Where the vocabulary file lies; every executor must see the same path. ``none`` says that no tokenizer is at hand.
 TOKENIZER = os.environ.get("LUMENAR_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 _PLAIN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
@@ -27,11 +27,11 @@ def _counter(path: str | None):
 
 
 def usable_path(path: str | None) -> str | None:
-    """``path`` if it can be read, None if it names no tokenizer (None or ''). A named file that is missing or can't be read, or a missing library, raises: another count would look like the one asked for."""
-    if not path:
+    """``path`` if it can be read, None if it names no tokenizer (None, '' or ``none``). A named file that is missing or can't be read, or a missing library, raises: another count would look like the one asked for."""
+    if not path or path == "none":
         return None
     if not os.path.isfile(path):
-        raise FileNotFoundError(f"no tokenizer file {path}; an empty LUMENAR_TOKENIZER counts runs of letters or digits instead")
+        raise FileNotFoundError(f"no tokenizer file {path}; LUMENAR_TOKENIZER=none counts runs of letters or digits instead")
     _counter(path)
     return path
 
@@ -39,7 +39,7 @@ def usable_path(path: str | None) -> str | None:
 def with_tokens(documents: DataFrame, path: str | None = TOKENIZER) -> DataFrame:
     """(``doc_id``, ``source``, ``tokens``) of each document; 0 for a null or empty text. Repeated rows of a ``doc_id`` count once, null ids are left out.
 
-    ``path`` is read once on the driver too, so a named tokenizer that is missing or broken fails before anything is counted, on an executor as well. None or '' counts without a tokenizer.
+    ``path`` is read once on the driver too, so a named tokenizer that is missing or broken fails before anything is counted, on an executor as well. None, '' or ``none`` counts without a tokenizer.
     """
     use = usable_path(path)
 

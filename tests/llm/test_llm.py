@@ -454,6 +454,17 @@ def test_a_missing_tokenizer_is_no_result(spark, tmp_path, monkeypatch, query):
     assert with_tokens(df, "").first().tokens == 6
 
 
+@pytest.mark.parametrize("query", [queries.p8_mixed, queries.p8_shares])
+def test_an_empty_tokenizer_name_is_no_result(spark, monkeypatch, query):
+    monkeypatch.setattr(queries.token_sizes, "TOKENIZER", "")
+    monkeypatch.setattr(queries, "with_tokens", lambda documents: with_tokens(documents, ""))
+    with pytest.raises(ValueError, match="LUMENAR_TOKENIZER"):
+        query(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(queries.token_sizes, "TOKENIZER", "none")
+    monkeypatch.setattr(queries, "with_tokens", lambda documents: with_tokens(documents, "none"))
+    assert query(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_a_table_replaces_the_one_before(spark):
     first = cut_lineage(spark.range(5).toDF("n"))
     second = cut_lineage(first.selectExpr("n + 1 as n"), instead_of=first)
