@@ -76,6 +76,18 @@ def test_conversations(spark):
     assert R.expand_coqa(coqa.limit(0)).count() == 0
 
 
+def test_history_is_one_text_cut_for_each_row(spark):
+    data = [(f"e{k % 7}{k}", None if k % 11 == 5 else f"g{k % 3}", (k * 5) % 9, [None, "", "é|ü", "yes", "漢字"][k % 5]) for k in range(60)] + [("x", "empty", 0, ""), ("y", "empty", 1, None), ("z", "empty", 2, "a")]
+    df = spark.createDataFrame(data, "example_id string, group_id string, turn int, response string")
+    for between in ("|", " · ", ""):
+        want = {(r.example_id, r.turn_number, between.join(r.history)) for r in R.with_history(df.filter("group_id is not null"), F.col("group_id"), F.col("turn")).collect()}
+        got = R.with_history_text(df, "group_id", "turn", between)
+        assert {(r.example_id, r.turn_number, r.history) for r in got.collect()} == want and got.columns == [*df.columns, "turn_number", "history"]
+    assert R.with_history_text(df.limit(0), "group_id", "turn").count() == 0
+    plan = queries.w6_history(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), -1" in plan and not any("collect_list" in line and "windowspec" in line for line in plan.splitlines())
+
+
 def test_deterministic_split(spark):
     df = spark.createDataFrame([(f"e{n}", f"g{n // 3}") for n in range(300)], "example_id string, group_id string").withColumn("split", F.lit("x"))
     a = {r.example_id: r.split for r in R.deterministic_split(df, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
