@@ -1,5 +1,6 @@
 """Core operators against SQL on the smallest tables and against plain Python."""
 
+import hashlib
 import inspect
 import json
 import math
@@ -88,6 +89,27 @@ def test_history_is_one_text_cut_for_each_row(spark):
     assert "unboundedpreceding$(), -1" in plan and not any("collect_list" in line and "windowspec" in line for line in plan.splitlines())
 
 
+def test_history_of_a_long_group_is_dealt_among_all_rows(spark):
+    data = [(f"h{k:05}", "hot" if k % 10 == 3 else f"g{k // 30}", k, None if k % 50 == 3 else f"é{k} said at length" * 10) for k in range(20_000)]
+    df = spark.createDataFrame(data, "example_id string, group_id string, turn int, response string").repartition(3)
+    want, so_far = {}, {}
+    for key, group, _, said in data:
+        want[key] = (len(so_far.setdefault(group, [])), "|".join(so_far[group]))
+        so_far[group].append(said or "")
+    assert len("|".join(so_far["hot"]).encode()) > R.LONG_TEXT
+    got = R.with_history_text(df, "group_id", "turn").withColumn("part", F.spark_partition_id())
+    kept = got.select("example_id", "turn_number", F.md5("history").alias("h"), "part", "group_id").collect()
+    assert {r.example_id: (r.turn_number, r.h) for r in kept} == {k: (n, hashlib.md5(h.encode()).hexdigest()) for k, (n, h) in want.items()} and len(kept) == len(data)
+    parts = {r.part for r in kept}
+    assert len(parts) > 1 and {r.part for r in kept if r.group_id == "hot"} == parts
+    for part in parts:  # no run of them fills a writer's first 100 values
+        run = longest = 0
+        for r in (r for r in kept if r.part == part):
+            run = run + 1 if r.group_id == "hot" else 0
+            longest = max(longest, run)
+        assert longest < 100
+
+
 def test_deterministic_split(spark):
     df = spark.createDataFrame([(f"e{n}", f"g{n // 3}") for n in range(300)], "example_id string, group_id string").withColumn("split", F.lit("x"))
     a = {r.example_id: r.split for r in R.deterministic_split(df, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
