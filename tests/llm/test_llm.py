@@ -166,6 +166,21 @@ def test_links_however_few_words_are_rare(spark, rare):
         assert split <= rows(parity_sketch.candidate_pairs(df, threshold, "side", rare=rare))
 
 
+def test_texts_of_one_side_are_not_compared(spark):
+    """Many like texts of side 0 and a few of side 1, all words frequent: what leaves a task follows the keys of side 1, and no row meets another of its side or its role."""
+    r = random.Random(5)
+    vocabulary = [f"w{n}" for n in range(300)]
+    near = r.sample(vocabulary, 30)
+    sets = [r.sample(vocabulary, 30) for _ in range(300)] + [near, [*near[:29], "w0x"], r.sample(vocabulary, 30)]
+    df = spark.createDataFrame([(n, s, int(n > 300)) for n, s in enumerate(sets)], "id long, words array<string>, side int").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    assert (300, 301) in rows(parity_sketch.candidate_pairs(df, 0.7, "side", rare=1))
+    corpus = parity_sketch.frequent_words(df, 0.7, 1)
+    met, bits = parity_sketch._key_map(df.filter("side = 1"), corpus)
+    every, left = (parity_sketch._rows_across(df.filter("side = 0"), corpus, 0, *x) for x in ((), (met, bits)))
+    other = parity_sketch._rows_across(df.filter("side = 1"), corpus, 1)
+    assert left.count() < every.count() / 2 and left.join(other, "key").count() == every.join(other, "key").count() > 0
+
+
 def test_split_overlap_against_brute_force(spark):
     r = random.Random(3)
     data, asked = [], {}
